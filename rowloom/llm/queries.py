@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import language, packing, token_counts, warc
+from rowloom.llm import language, packing, quality, secrets, token_counts, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -16,6 +16,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
@@ -29,14 +34,20 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), capacity=1024, end_id=2)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(_read(spark, sf_dir, "documents"))
+
+
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"), minimum=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
 
@@ -44,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BASE32 = "list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform(range(0, 4), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(g * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * k AS INTEGER)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')), 'string_agg', '')"
 
 ORACLES: dict[str, str] = {
+    "op8_quality_rules": quality.SQL,
     "op10_warc_round_trip": f"""
         WITH p AS (SELECT page_id, COALESCE(html, '') AS body FROM pages),
         d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h FROM p),
