@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rowloom.llm.common import text_chunks
 
@@ -22,8 +21,10 @@ from rowloom.llm.common import text_chunks
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 256
 ORDERS = (1, 2, 3, 4)
-#: Labelled documents for each language that the model is fitted on, those with the smallest hash of key and text size.
+#: Labelled documents for each language that the model is fitted on, about, and the tasks that read them.
 SAMPLE_PER_LANGUAGE = 1000
+TRAINING_TASKS = 8
+SEED = 7
 #: Code points of each sampled document that training reads; prediction always reads whole texts.
 SAMPLE_CODE_POINTS = 20_000
 SMOOTHING = 0.5
@@ -74,18 +75,21 @@ def held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Counts n-grams of at most per_language labelled, not held-out rows for each language.
+    """Counts n-grams of about per_language labelled, not held-out rows for each language.
 
-    Rows are chosen by the smallest hash of their key, ranked before any text moves. The counts return as one row of
-    BUCKETS numbers for each language and task, merged on the driver: bounded by the sample, not by the corpus.
+    The sample is stratified and seeded: one count for each language sets its share, and rows are drawn where they
+    lie, so no text moves to be chosen. The counts return as one row of BUCKETS numbers for each language and task,
+    merged on the driver: bounded by the sample, not by the corpus.
     """
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("key")))
-    # a threshold on the hash, exact for each language: the per_language-th smallest, found from hashes alone
-    order = F.xxhash64("key", F.length("text"))
-    ranked = labelled.select("lang", order.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
-    cuts = ranked.groupBy("lang").agg(F.max("h").alias("cut")).orderBy("lang").limit(MAX_LANGUAGES)
-    chosen = labelled.join(F.broadcast(cuts), "lang").where(order <= F.col("cut")).select("lang", F.substring("text", 1, SAMPLE_CODE_POINTS).alias("text"))
+    labelled = labelled.where(F.col("lang").isNotNull() & ~held_out(F.col("key")))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    shares = {r.lang: min(1.0, per_language / r.n) for r in sizes}
+    if not shares:
+        return LanguageModel((), np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+    chosen = labelled.sampleBy("lang", shares, SEED).where("text is not null")
+    # one task's matrix for each language is small, but many tasks have few sampled rows: gather them in a few tasks
+    chosen = chosen.select("lang", F.substring("text", 1, SAMPLE_CODE_POINTS).alias("text")).repartition(TRAINING_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
