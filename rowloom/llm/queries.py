@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import language, packing, quality, secrets, token_counts, warc
+from rowloom.llm import dedup, language, packing, quality, secrets, token_counts, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
@@ -43,6 +47,7 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BASE32 = "list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(list_transform(range(0, 4), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(g * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * k AS INTEGER)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')), 'string_agg', '')"
 
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": dedup.SQL,
     "op8_quality_rules": quality.SQL,
     "op10_warc_round_trip": f"""
         WITH p AS (SELECT page_id, COALESCE(html, '') AS body FROM pages),
