@@ -40,6 +40,8 @@ LEAF = 1500
 BRANCH = 2
 #: Pivots that chunks of a large node share, and levels after which nodes are compared block by block.
 PIVOTS, LEVELS = 16, 8
+#: Links that one task contracts (about 100 MB of Python objects).
+LINK_BLOCK = 500_000
 #: Documents whose sets are fetched through a broadcast of their ids up to this many (16 MB), by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
 
@@ -282,14 +284,43 @@ def spanning_links(sets: list[np.ndarray], labels: list[int], percent: int) -> l
     return out
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(uid, label) of every end of links(a, b): the smallest uid of its component.
+def _contracted(edges: DataFrame, blocks: int) -> DataFrame:
+    """(u, v): inside each of `blocks` blocks of edges, every end u with the smallest end v of its component there."""
 
-    Alternating large-star and small-star steps; each step is grouped minima and one join, written out.
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := parent.setdefault(top, top)) != top:
+                top = up
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        ends = [x for x in parent if root(x) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([parent[x] for x in ends], pa.int64())], names=["u", "v"])
+
+    return edges.coalesce(blocks).mapInArrow(contract, "u long, v long")
+
+
+def connected(links: DataFrame, block: int = LINK_BLOCK) -> DataFrame:
+    """(uid, label) of every end of the written table links(a, b): label is the smallest uid of its component.
+
+    Links are contracted in blocks of bounded size; where there is more than one block, alternating large-star and
+    small-star steps (grouped minima and joins) connect the blocks' components until nothing changes.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
-    state = None
+    edges, state = links.select(F.col("a").alias("u"), F.col("b").alias("v")), None
     while True:
+        blocks = max(1, math.ceil(edges.count() / block))
+        edges = materialise(_contracted(edges, blocks), "links")
+        if blocks == 1:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -300,8 +331,10 @@ def connected(links: DataFrame) -> DataFrame:
         if now == state:
             break
         state = now
-    labels = edges.groupBy("u").agg(F.min("v").alias("label"))
-    return labels.select(F.col("u").alias("uid"), "label").unionByName(labels.select(F.col("label").alias("uid"), "label").distinct())
+    labels = edges.select(F.col("u").alias("uid"), F.col("v").alias("label"))
+    if blocks > 1:
+        labels = labels.groupBy("uid").agg(F.min("label").alias("label"))
+    return labels.unionByName(labels.select(F.col("label").alias("uid"), "label").distinct())
 
 
 class ChosenPath:
