@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowloom.llm import dedup, language, packing, quality, secrets, token_counts, warc
+from rowloom.llm import chat, dedup, language, neighbours, packing, quality, secrets, token_counts, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -25,6 +26,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
 
 
+def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
@@ -42,6 +47,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(_read(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_read(spark, sf_dir, "conversations"))
+
+
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"), minimum=0)
 
@@ -49,10 +58,12 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_ann_search": op3_ann_search,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_chat_format": op9_chat_format,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
 
@@ -62,6 +73,7 @@ _BASE32 = "list_aggregate(list_transform(range(0, 8), lambda g: list_aggregate(l
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": dedup.SQL,
     "op8_quality_rules": quality.SQL,
+    "op9_chat_format": chat.SQL,
     "op10_warc_round_trip": f"""
         WITH p AS (SELECT page_id, COALESCE(html, '') AS body FROM pages),
         d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h FROM p),
