@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm import chat, dedup, language, neighbours, packing, quality, secrets, token_counts, warc
+from rowloom.llm import chat, dedup, language, neighbours, packing, quality, sampling, secrets, token_counts, warc
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op3_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
 
 
+def op4_sp_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample(_read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), k=2, with_ids=False)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_ann_search": op3_ann_search,
+    "op4_sp_sampling": op4_sp_sampling,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
