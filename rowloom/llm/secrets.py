@@ -32,6 +32,9 @@ SMOOTHING = 0.5
 RANDOM_STRINGS = 4000
 ORDINARY_DOCUMENTS = 2000
 ORDINARY_CODE_POINTS = 10_000
+SEED = 5
+#: Tokens of fewer different characters are rulers and fillers, not secrets.
+MIN_DISTINCT = 8
 
 
 @dataclass(frozen=True)
@@ -72,7 +75,7 @@ def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
     """(token, random): a bounded labelled sample.
 
     Random: digests of numbers written in hexadecimal of both cases, base64, letters and digits, and capitals.
-    Ordinary: words of ORDINARY_DOCUMENTS documents (smallest hash of the text's start), as they are, in capitals,
+    Ordinary: words of about ORDINARY_DOCUMENTS documents (a seeded sample, drawn where rows lie), as they are, in capitals,
     joined as identifiers, paths and dashed names, and numbered; decimal numbers and dates; runs of one character.
     Words with digits stay out, so secrets inside texts do not count as ordinary.
     """
@@ -81,8 +84,8 @@ def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
     b64 = F.base64(F.unhex(sha))
     forms = F.array(F.substr(sha, F.lit(1), F.lit(40)), F.upper(F.substr(sha, F.lit(1), F.lit(32))), b64, F.regexp_replace(b64, "[+/=]", ""), F.concat(F.lit("A"), F.upper(F.substr(F.regexp_replace(b64, "[^A-Za-z0-9]", ""), F.lit(1), F.lit(19)))))
     random = spark.range(RANDOM_STRINGS).select(F.explode(forms).alias("token"), F.lit(True).alias("random"))
-    few = docs.select(F.substring(F.col(text), 1, ORDINARY_CODE_POINTS).alias("t")).where("t is not null")
-    few = few.orderBy(F.xxhash64("t")).limit(ORDINARY_DOCUMENTS)
+    share = min(1.0, ORDINARY_DOCUMENTS / max(1, docs.count()))
+    few = docs.select(F.substring(F.col(text), 1, ORDINARY_CODE_POINTS).alias("t")).sample(False, share, SEED).where("t is not null")
     words = F.regexp_extract_all("t", F.lit(r"[A-Za-z]{2,}"), F.lit(0))
     def chain(mark: str) -> Column:
         return F.regexp_extract_all(F.array_join(words, mark), F.lit(rf"[A-Za-z]+{mark}[A-Za-z]+{mark}[A-Za-z]+"), F.lit(0))
@@ -135,7 +138,8 @@ def spans(docs: DataFrame, model: MarkovModel, text: str = "text") -> DataFrame:
     hex_ = _found(t, HEX.removesuffix("+") + f"{{{MIN_HEX},}}", 2)
     tokens = _found(t, TOKEN + f"{{{MIN_TOKEN},}}", 3)
     df = df.withColumns({"__base": F.sort_array(F.concat(assign, access, hex_)), "__tokens": tokens}).drop("__t")
-    clear = F.filter("__tokens", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    varied = lambda s: F.size(F.array_distinct(F.split(s["value"], ""))) >= MIN_DISTINCT
+    clear = F.filter("__tokens", lambda s: varied(s) & ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     scored = F.transform(clear, lambda s: F.struct(s.alias("s"), model.score(s["value"]).alias("ratio")))
     random = F.filter(scored, lambda e: (e["ratio"] > MIN_RATIO) & (e["ratio"] > MIN_RATIO_EACH * (e["s"]["end"] - e["s"]["start"])))
     df = df.withColumn("__all", F.when(F.size("__tokens") == 0, F.col("__base")).otherwise(F.sort_array(F.concat("__base", F.transform(random, lambda e: e["s"])))))
