@@ -31,6 +31,7 @@ SAMPLE_RECORDS = 400
 SAMPLE_BYTES = 16 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+SEED = 3
 #: Fixed value: the profile of revisits with an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: All records carry one date, so that equal pages make equal archives.
@@ -140,7 +141,8 @@ def write(pages: DataFrame, folder: str, minimum: int = 0, archive_bytes: int =
     target = _local(folder)
     narrow = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").alias("html"))
     marks = _plan_records(narrow, minimum)
-    some = narrow.where("html is not null").orderBy(F.xxhash64("page_id", F.length("html"))).limit(SAMPLE_RECORDS).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).collect()  # bounded sample
+    share = min(1.0, 1.5 * SAMPLE_RECORDS / max(1, narrow.count()))
+    some = narrow.where("html is not null").select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).sample(False, share, SEED).limit(SAMPLE_RECORDS).collect()  # bounded sample
     samples = [record(r.page_id, r.url, p := r.html.encode(), digest(p)) for r in some]
     words = train(samples)
     ready = narrow.join(marks, "row", "left")
