@@ -20,15 +20,21 @@ START, END = "<|im_start|>", "<|im_end|>"
 _HASHES = ("p", "q")
 
 
+def _turns(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """(conv, turn, role, text, h1, h2, chunk) without nulls but for ids and numbers."""
+    t = turns.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    t = t.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(17), "text")})
+    return t.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK).cast("long"), F.lit(-(2**62))))
+
+
 def prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, chunk, place, role, text, p, q, size): each turn with its place from 1, the rolling hashes up to it and its conversation's size.
+    """(conv, place, p, q, size): each turn with its place from 1, the rolling hashes up to it and its conversation's size.
 
-    Turns are ordered by number (null first), then role, then text; ties and repeated rows stay as turns of their own.
-    Null roles and texts count as empty.
+    Turns are ordered by number (null first), then role, then a hash of the text; ties and repeated rows stay as turns
+    of their own. Null roles and texts count as empty. Texts do not move: two hashes of 64 bits stand for each.
     """
-    t = turns.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    t = t.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK).cast("long"), F.lit(-(2**62))))
-    inside = Window.partitionBy("conv", "chunk").orderBy("turn", "role", "text")
+    t = _turns(turns, conv, turn, role, text).drop("text")
+    inside = Window.partitionBy("conv", "chunk").orderBy("turn", "role", "h1", "h2")
     t = t.withColumn("at", F.row_number().over(inside).cast("long"))
     # chunks are many times fewer than turns: their sizes give each its first place
     ahead = Window.partitionBy("conv").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -37,13 +43,13 @@ def prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     sizes = sizes.select("conv", "chunk", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("skip"), F.sum("n").over(whole).alias("size"))
     same = lambda a, b: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv")) & (F.col(f"{a}.chunk") == F.col(f"{b}.chunk"))
     t = t.alias("t").join(sizes.alias("s"), same("t", "s")).select("t.*", "s.size", (F.col("at") + F.col("skip")).alias("place"))
-    t = t.withColumns({"hp": F.xxhash64("place", "role", "text"), "hq": F.xxhash64(F.lit(17), "text", "place", "role")})
+    t = t.withColumns({"hp": F.xxhash64("place", "role", "h1"), "hq": F.xxhash64("h2", "place", "role")}).drop("role", "h1", "h2")
     upto = Window.partitionBy("conv", "chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumns({h: F.bit_xor(f"h{h}").over(upto) for h in _HASHES})
     sums = t.groupBy("conv", "chunk").agg(*(F.bit_xor(f"h{h}").alias(f"h{h}") for h in _HASHES))
     sums = sums.select("conv", "chunk", *(F.coalesce(F.bit_xor(f"h{h}").over(ahead), F.lit(0)).alias(f"skip_{h}") for h in _HASHES))
     out = t.alias("t").join(sums.alias("s"), same("t", "s"))
-    return out.select("t.conv", "t.chunk", "t.place", "t.role", "t.text", "t.size", *(F.col(f"t.{h}").bitwiseXOR(F.col(f"s.skip_{h}")).alias(h) for h in _HASHES))
+    return out.select("t.conv", "t.place", "t.size", *(F.col(f"t.{h}").bitwiseXOR(F.col(f"s.skip_{h}")).alias(h) for h in _HASHES))
 
 
 def maximal(named: DataFrame) -> DataFrame:
@@ -66,14 +72,13 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     Parts of a conversation joined in order make its whole text; ordinary conversations have one. A null conversation
     id names one conversation. Other columns are ignored. An empty table gives an empty table.
     """
-    named = materialise(prefixes(turns, conv, turn, role, text).drop("text", "role"), "prefixes")
+    named = materialise(prefixes(turns, conv, turn, role, text), "prefixes")
     kept = materialise(maximal(named), "maximal").withColumnRenamed("conv", "kept_conv")
     sizes = named.where("place = 1").select(F.col("conv").alias("size_conv"), "size")
     kept = kept.join(sizes, F.col("kept_conv").eqNullSafe(F.col("size_conv"))).select("kept_conv", "size")
-    t = turns.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    t = t.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK).cast("long"), F.lit(-(2**62))))
-    t = t.join(kept, F.col("conv").eqNullSafe(F.col("kept_conv"))).select("conv", "chunk", "turn", "role", "text", "size")
-    parts = t.groupBy("conv", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("e"), F.max("size").alias("total_turns"))
+    t = _turns(turns, conv, turn, role, text)
+    t = t.join(kept, F.col("conv").eqNullSafe(F.col("kept_conv"))).select("conv", "chunk", "turn", "role", "h1", "h2", "text", "size")
+    parts = t.groupBy("conv", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "h1", "h2", "text"))).alias("e"), F.max("size").alias("total_turns"))
     number = F.row_number().over(Window.partitionBy("conv").orderBy("chunk")) - 1
     text_ = F.array_join(F.transform("e", lambda x: render(x["role"], x["text"])), "")
     return parts.select(F.col("conv").alias(conv), number.cast("int").alias("part"), F.size("e").cast("long").alias("n_turns"), F.col("total_turns").cast("long").alias("total_turns"), text_.alias("rendered"))
