@@ -279,33 +279,44 @@ class _Path:
         return (-float(np.logaddexp(-self.score, -top)) if top > -math.inf else -math.inf), at
 
 
-def sample_text(a: _Arrays, starts: np.ndarray, seed: int, k: int, first: tuple[np.ndarray, np.ndarray]) -> tuple[list[_Path], float]:
-    """The k best perturbed paths, best first, and the best score left (-inf if there is no further path)."""
-    base = _base(seed, 0)
-    score = -math.log(-math.log(_alone(base, 1 << 42)))
-    found = [_Path(a, *first, score, base, 0, [])]
-    while True:
-        tops = [p.best() for p in found]
-        top, at = max(tops)
-        if len(found) == k or top == -math.inf:
-            return found, top
-        origin = found[tops.index((top, at))]
+class _Search:
+    """The queue of one text: its samples so far, each with its open regions."""
+
+    def __init__(self, a: _Arrays, seed: int, starts: np.ndarray, units: np.ndarray, edges: np.ndarray):
+        self.seed, self.starts = seed, starts
+        base = _base(seed, 0)
+        self.found = [_Path(a, units, edges, -math.log(-math.log(_alone(base, 1 << 42))), base, 0, [])] if len(starts) else []
+
+    def top(self) -> tuple[float, int, _Path | None]:
+        """Score, position and path of the best open region."""
+        return max(((*p.best(), p) for p in self.found), key=lambda x: x[0], default=(-math.inf, 0, None))
+
+    def pop(self, a: _Arrays) -> bool:
+        """Takes the best region and draws its first edge; self.nodes and self.places are the units that are left to draw."""
+        score, at, origin = self.top()
+        if score == -math.inf:
+            return False
         origin.free[at] = -np.inf
         banned = [*origin.excluded.get(at, ()), int(origin.edges[at])]
-        base = _base(seed, len(found))
-        # another edge at the same node, by the probabilities that remain
+        self.base = _base(self.seed, len(self.found))
         node = a.node_of(int(origin.edges[at]))
+        # another edge at the same node, by the probabilities that remain
         others = [e for e in range(a.first[node], a.first[node + 1]) if e not in banned]
         p = a.share[others]
-        edge = others[min(len(others) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), _alone(base, (1 << 43) + at))))]
+        edge = others[min(len(others) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), _alone(self.base, (1 << 43) + at))))]
         unit = int(origin.units[at])
-        nodes, places = np.concatenate(([a.target[edge]], starts[unit + 1 :])), np.arange(unit, len(starts))
-        if nodes[0] < 0:
-            nodes, places = nodes[1:], places[1:]
-        w, e = a.walk(nodes, places, np.full(len(nodes), base))
-        units = np.concatenate((origin.units[:at], [unit], places[w]))
-        edges = np.concatenate((origin.edges[:at], [edge], e)).astype(np.int64)
-        found.append(_Path(a, units, edges, top, base, at, banned))
+        ended = a.target[edge] < 0
+        self.nodes = self.starts[unit + 1 :] if ended else np.concatenate(([a.target[edge]], self.starts[unit + 1 :]))
+        self.places = np.arange(unit + 1 if ended else unit, len(self.starts))
+        self.taken = (score, at, origin, banned, edge, unit)
+        return True
+
+    def push(self, a: _Arrays, where: np.ndarray, edges: np.ndarray) -> None:
+        """Completes the popped region's path by the drawn edges."""
+        score, at, origin, banned, edge, unit = self.taken
+        units = np.concatenate((origin.units[:at], [unit], self.places[where]))
+        edges = np.concatenate((origin.edges[:at], [edge], edges)).astype(np.int64)
+        self.found.append(_Path(a, units, edges, score, self.base, at, banned))
 
 
 _workers: dict[str, Lattices] = {}
@@ -324,15 +335,28 @@ def sample_block(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> I
     inside = np.arange(len(start)) - np.repeat(np.array(bounds[:-1], dtype=np.int64), sizes)
     owner, edge = a.walk(start, inside, base)
     cuts = np.searchsorted(owner, bounds)
-    for t, (b, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-        if b == e:
+    searches = [
+        _Search(a, seed, start[b:e], inside[owner[x:y]], edge[x:y])
+        for seed, b, e, x, y in zip(seeds, bounds[:-1], bounds[1:], cuts[:-1], cuts[1:], strict=True)
+    ]
+    for _ in range(1, k):  # every text's next sample, drawn in one go
+        going = [s for s in searches if s.pop(a)]
+        if not going:
+            break
+        sizes = np.array([len(s.nodes) for s in going])
+        owner, edge = a.walk(np.concatenate([s.nodes for s in going]), np.concatenate([s.places for s in going]), np.repeat(np.array([s.base for s in going], dtype=np.uint64), sizes))
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        cuts = np.searchsorted(owner, ends)
+        for s, b, x, y in zip(going, ends[:-1], cuts[:-1], cuts[1:], strict=True):
+            s.push(a, owner[x:y] - b, edge[x:y])
+    for s in searches:
+        if not s.found:
             yield [np.zeros(0, np.int32)], [0.0], [0.0], [1.0]
             continue
-        part = slice(cuts[t], cuts[t + 1])
-        paths, left = sample_text(a, start[b:e], seeds[t], k, (inside[owner[part]], edge[part]))
-        logs = [float(p.logs.sum()) for p in paths]
+        left = s.top()[0]
+        logs = [float(p.logs.sum()) for p in s.found]
         inclusion = [1.0 if left == -math.inf else -math.expm1(-math.exp(min(700.0, x - left))) for x in logs]
-        yield [a.piece[p.edges] for p in paths], logs, [p.score for p in paths], inclusion
+        yield [a.piece[p.edges] for p in s.found], logs, [p.score for p in s.found], inclusion
 
 
 def sample(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
