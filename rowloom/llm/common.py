@@ -5,24 +5,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Texts handled at once inside a batch, in characters: bounds the arrays that a kernel builds beside the batch.
-CHUNK_CHARS = 1 << 20
+#: Texts handled at once inside a batch, in bytes: bounds the arrays that a kernel builds beside the batch.
+CHUNK_BYTES = 1 << 20
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of batches whose texts have about limit characters (one text may have more), with null read as empty."""
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of batches whose texts have about limit bytes (one text may have more), with null read as empty.
+
+    Only one slice's texts are Python strings at a time.
+    """
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
+        place = batch.schema.get_field_index(column)
+        sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()
         start = size = 0
-        for k, t in enumerate(texts):
-            texts[k] = t = t or ""
-            if size and size + len(t) > limit:
-                yield batch.slice(start, k - start), texts[start:k]
+        for k, n in enumerate([*sizes, limit + 1]):
+            if k > start and size + n > limit:
+                part = batch.slice(start, k - start)
+                yield part, [t or "" for t in part.column(place).to_pylist()]
                 start, size = k, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += n
 
 
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -51,7 +51,7 @@ _MULTIPLY = _random.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.
 _MINWISE = _random.integers(0, 2**63, ESTIMATE + PATH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
