@@ -71,6 +71,22 @@ class Pieces:
         self.begun: dict[str, tuple[float, int] | None] = {p[:n]: None for p in self.weight for n in range(1, len(p))} | self.weight
         self.bytes_of: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.weight.items()} | {i: bytes([b]) for b, i in self.byte.items()}
 
+        self.sizes = np.zeros(model.get_piece_size(), dtype=np.int64)
+        for i, raw in self.bytes_of.items():
+            self.sizes[i] = len(raw)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.sizes))), dtype=np.uint8)
+
+    def spells(self, ids: np.ndarray, text: str) -> bool:
+        """Whether ids decode to the text, byte for byte."""
+        raw = text.encode("utf-8", "surrogatepass")
+        sizes = self.sizes[ids]
+        total = int(sizes.sum())
+        if total != len(raw) + bool(len(ids)):
+            return False
+        at = np.repeat(self.offsets[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
+        return self.letters[at].tobytes() == (b" " if len(ids) else b"") + raw
+
     def units(self, texts: list[str]) -> tuple[list[str], list[int]]:
         """The units of all texts and the bounds of each text's; a text gets one space before it, as the library does."""
         marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
@@ -254,21 +270,13 @@ class _Path:
 
     __slots__ = ("units", "edges", "logs", "score", "free", "excluded")
 
-    def __init__(self, a: _Arrays, units: np.ndarray, edges: np.ndarray, score: float, base: np.uint64, begin: int, banned: list[int]):
-        self.units, self.edges, self.score, self.excluded = units, edges, score, {begin: banned} if banned else {}
-        share = a.share[edges]
-        self.logs = np.log(share)
-        before = self.logs[:begin].sum() + np.concatenate(([0.0], np.cumsum(self.logs[begin:])[:-1]))
-        beside = 1.0 - share[begin:]
-        if banned:
-            node = a.node_of(int(edges[begin]))
-            gone = {*banned, int(edges[begin])}
-            beside[0] = math.fsum(float(a.share[e]) for e in range(a.first[node], a.first[node + 1]) if e not in gone)
-        self.free = np.full(len(edges), -np.inf)
-        some = np.flatnonzero(beside > 0)
-        if len(some):
-            noise = _uniform(np.full(len(some), base), some + (begin + (1 << 41)))
-            self.free[some + begin] = before[some] + np.log(beside[some]) - np.log(-np.log(noise))
+    def __init__(self, units: np.ndarray, edges: np.ndarray, logs: np.ndarray, score: float, begin: int, beside: np.ndarray, banned: list[int]):
+        """beside[i] is the perturbed logarithm of what the other edges have at position begin + i, given its node."""
+        self.units, self.edges, self.logs, self.score = units, edges, logs, score
+        self.excluded = {begin: banned} if banned else {}
+        self.free = np.cumsum(logs) - logs
+        self.free[:begin] = -np.inf
+        self.free[begin:] += beside
 
     def best(self) -> tuple[float, int]:
         """The score of the best open region and its position."""
@@ -279,13 +287,20 @@ class _Path:
         return (-float(np.logaddexp(-self.score, -top)) if top > -math.inf else -math.inf), at
 
 
+def _beside(a: _Arrays, edges: np.ndarray, base: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithm of each edge's probability, and the perturbed logarithm of its neighbours' at the node."""
+    share = a.share[edges]
+    with np.errstate(divide="ignore"):  # an edge without neighbours leaves minus infinity
+        return np.log(share), np.log1p(-share) - np.log(-np.log(_uniform(base, place + (1 << 41))))
+
+
 class _Search:
     """The queue of one text: its samples so far, each with its open regions."""
 
-    def __init__(self, a: _Arrays, seed: int, starts: np.ndarray, units: np.ndarray, edges: np.ndarray):
+    def __init__(self, seed: int, starts: np.ndarray, units: np.ndarray, edges: np.ndarray, logs: np.ndarray, beside: np.ndarray):
         self.seed, self.starts = seed, starts
-        base = _base(seed, 0)
-        self.found = [_Path(a, units, edges, -math.log(-math.log(_alone(base, 1 << 42))), base, 0, [])] if len(starts) else []
+        score = -math.log(-math.log(_alone(_base(seed, 0), 1 << 42)))
+        self.found = [_Path(units, edges, logs, score, 0, beside, [])] if len(starts) else []
 
     def top(self) -> tuple[float, int, _Path | None]:
         """Score, position and path of the best open region."""
@@ -311,12 +326,16 @@ class _Search:
         self.taken = (score, at, origin, banned, edge, unit)
         return True
 
-    def push(self, a: _Arrays, where: np.ndarray, edges: np.ndarray) -> None:
+    def push(self, a: _Arrays, where: np.ndarray, edges: np.ndarray, logs: np.ndarray, beside: np.ndarray) -> None:
         """Completes the popped region's path by the drawn edges."""
         score, at, origin, banned, edge, unit = self.taken
         units = np.concatenate((origin.units[:at], [unit], self.places[where]))
-        edges = np.concatenate((origin.edges[:at], [edge], edges)).astype(np.int64)
-        self.found.append(_Path(a, units, edges, score, self.base, at, banned))
+        edges = np.concatenate((origin.edges[:at], [edge], edges))
+        node = a.node_of(edge)
+        left = math.fsum(float(a.share[e]) for e in range(a.first[node], a.first[node + 1]) if e != edge and e not in banned)
+        here = math.log(left) - math.log(-math.log(_alone(self.base, at + (1 << 41)))) if left > 0 else -math.inf
+        logs = np.concatenate((origin.logs[:at], [math.log(a.share[edge])], logs))
+        self.found.append(_Path(units, edges, logs, score, at, np.concatenate(([here], beside)), banned))
 
 
 _workers: dict[str, Lattices] = {}
@@ -335,8 +354,9 @@ def sample_block(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> I
     inside = np.arange(len(start)) - np.repeat(np.array(bounds[:-1], dtype=np.int64), sizes)
     owner, edge = a.walk(start, inside, base)
     cuts = np.searchsorted(owner, bounds)
+    logs, beside = _beside(a, edge, base[owner], np.arange(len(owner)) - np.repeat(cuts[:-1], np.diff(cuts)))
     searches = [
-        _Search(a, seed, start[b:e], inside[owner[x:y]], edge[x:y])
+        _Search(seed, start[b:e], inside[owner[x:y]], edge[x:y], logs[x:y], beside[x:y])
         for seed, b, e, x, y in zip(seeds, bounds[:-1], bounds[1:], cuts[:-1], cuts[1:], strict=True)
     ]
     for _ in range(1, k):  # every text's next sample, drawn in one go
@@ -344,11 +364,14 @@ def sample_block(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> I
         if not going:
             break
         sizes = np.array([len(s.nodes) for s in going])
-        owner, edge = a.walk(np.concatenate([s.nodes for s in going]), np.concatenate([s.places for s in going]), np.repeat(np.array([s.base for s in going], dtype=np.uint64), sizes))
+        bases = np.repeat(np.array([s.base for s in going], dtype=np.uint64), sizes)
+        owner, edge = a.walk(np.concatenate([s.nodes for s in going]), np.concatenate([s.places for s in going]), bases)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         cuts = np.searchsorted(owner, ends)
+        begins = np.array([s.taken[1] + 1 for s in going])
+        logs, beside = _beside(a, edge, bases[owner], np.arange(len(owner)) + np.repeat(begins - cuts[:-1], np.diff(cuts)))
         for s, b, x, y in zip(going, ends[:-1], cuts[:-1], cuts[1:], strict=True):
-            s.push(a, owner[x:y] - b, edge[x:y])
+            s.push(a, owner[x:y] - b, edge[x:y], logs[x:y], beside[x:y])
     for s in searches:
         if not s.found:
             yield [np.zeros(0, np.int32)], [0.0], [0.0], [1.0]
@@ -374,13 +397,13 @@ def sample(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = _workers.get(model) or _workers.setdefault(model, Lattices(Pieces(model)))
-        decode = lat.pieces.decode
+        spells = lat.pieces.spells
         for batch, texts in text_chunks(batches):
             seeds = [s & (2**64 - 1) for s in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             for n, (t, (ids, logs, scores, inclusion)) in enumerate(zip(texts, sample_block(lat, texts, seeds, k), strict=True)):
                 for r, (i, lp, s, p) in enumerate(zip(ids, logs, scores, inclusion, strict=True)):
-                    rows.append((n, r + 1, len(i), lp, s, p, zlib.crc32(i.astype("<u4").tobytes()), decode(i.tolist()) == t, i if with_ids else None))
+                    rows.append((n, r + 1, len(i), lp, s, p, zlib.crc32(i.astype("<u4").tobytes()), spells(i, t), i if with_ids else None))
             cols = list(zip(*rows, strict=True))
             keys = batch.column(0).take(pa.array(cols[0], pa.int32()))
             types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
