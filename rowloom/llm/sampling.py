@@ -32,7 +32,7 @@ SPACE = "▁"
 #: Slots of the table of neighbouring characters; a shared slot only makes units longer.
 PAIRS = 1 << 21
 #: Edges of unit lattices that a worker keeps (about 70 bytes each with their nodes); beyond it the memory starts anew.
-KEPT_EDGES = 6_000_000
+KEPT_EDGES = 9_000_000
 #: Units up to this length are summed in plain numbers, longer ones in logarithms.
 PLAIN = 40
 #: Weight of the piece of rank r: 1 / (r + RANK_SHIFT), as in Zipf's law; of a byte piece: BYTE_WEIGHT.
@@ -116,7 +116,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.node: dict[str, int] = {}
-        self.beta: list[float] = []  # by node: the summed weight of all ways to the end; its logarithm in long units
+        self.beta = array("d")  # by node: the summed weight of all ways to the end; its logarithm in long units
         self.first = array("q", [0])
         self.share, self.target, self.piece = array("d"), array("q"), array("i")
 
@@ -148,12 +148,12 @@ class Lattices:
     def _add(self, unit: str) -> None:
         begun, longest, node, beta = self.pieces.begun, self.pieces.longest, self.node, self.beta
         n = len(unit)
-        at = [-1] * (n + 1)
+        at, ahead = [-1] * (n + 1), [1.0] * (n + 1)
         for i in range(n - 1, -1, -1):
             end = unit[i:]
             known = node.get(end)
             if known is not None:
-                at[i] = known
+                at[i], ahead[i] = known, beta[known]
                 continue
             weights, targets, pieces = [], [], []
             for j in range(i + 1, min(n, i + longest) + 1):
@@ -161,15 +161,15 @@ class Lattices:
                 if found is False:
                     break
                 if found is not None:
-                    weights.append(found[0] * beta[at[j]] if j < n else found[0])
+                    weights.append(found[0] * ahead[j])
                     targets.append(at[j])
                     pieces.append(found[1])
             if unit[i] not in self.pieces.weight:  # the character is no piece: its bytes are
                 raw = unit[i].encode("utf-8", "surrogatepass")
-                weights.insert(0, self.pieces.byte_weight ** len(raw) * (beta[at[i + 1]] if i + 1 < n else 1.0))
+                weights.insert(0, self.pieces.byte_weight ** len(raw) * ahead[i + 1])
                 targets.insert(0, self._spell(raw, at[i + 1]))
                 pieces.insert(0, self.pieces.byte[raw[0]])
-            total = sum(weights)
+            total = ahead[i] = sum(weights)
             if len(weights) > 1:
                 weights.reverse()
                 targets.reverse()
