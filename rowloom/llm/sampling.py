@@ -204,10 +204,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _base(seed: int, draw: int) -> np.uint64:
+_ALL = (1 << 64) - 1
+
+
+def _mix_one(x: int) -> int:
+    """_mix for a single number."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
+
+
+def _base(seed: int, draw: int) -> int:
     """What names the noise of one draw of one text."""
-    with np.errstate(over="ignore"):  # wrapping is meant
-        return _mix(_mix(np.array([seed], dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(draw + 1))[0]
+    return _mix_one((_mix_one((seed + 0x9E3779B97F4A7C15) & _ALL) + draw + 1) & _ALL)
 
 
 def _uniform(base: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -216,8 +225,9 @@ def _uniform(base: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _alone(base: np.uint64, place: int) -> float:
-    return float(_uniform(np.array([base]), np.array([place]))[0])
+def _alone(base: int, place: int) -> float:
+    """_uniform for a single place."""
+    return ((_mix_one(base ^ ((place * 0x9E3779B97F4A7C15) & _ALL)) >> 11) + 0.5) * 2.0**-53
 
 
 class _Arrays:
@@ -280,11 +290,12 @@ class _Path:
 
     def best(self) -> tuple[float, int]:
         """The score of the best open region and its position."""
-        if not len(self.free):
-            return -math.inf, 0
         at = int(self.free.argmax())
         top = float(self.free[at])
-        return (-float(np.logaddexp(-self.score, -top)) if top > -math.inf else -math.inf), at
+        if top == -math.inf:
+            return top, at
+        low, high = sorted((-self.score, -top))
+        return -(high + math.log1p(math.exp(low - high))), at
 
 
 def _beside(a: _Arrays, edges: np.ndarray, base: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,8 +328,14 @@ class _Search:
         node = a.node_of(int(origin.edges[at]))
         # another edge at the same node, by the probabilities that remain
         others = [e for e in range(a.first[node], a.first[node + 1]) if e not in banned]
-        p = a.share[others]
-        edge = others[min(len(others) - 1, int(np.searchsorted(np.cumsum(p) / p.sum(), _alone(self.base, (1 << 43) + at))))]
+        shares = [float(a.share[e]) for e in others]
+        mark = _alone(self.base, (1 << 43) + at) * math.fsum(shares)
+        edge = others[-1]
+        for e, share in zip(others, shares, strict=True):
+            mark -= share
+            if mark <= 0:
+                edge = e
+                break
         unit = int(origin.units[at])
         ended = a.target[edge] < 0
         self.nodes = self.starts[unit + 1 :] if ended else np.concatenate(([a.target[edge]], self.starts[unit + 1 :]))
