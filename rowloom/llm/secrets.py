@@ -30,7 +30,7 @@ MIN_RATIO, MIN_RATIO_EACH = 20.0, 1.0
 SMOOTHING = 0.5
 #: Bounds of the labelled sample: generated random strings, and documents whose words are ordinary.
 RANDOM_STRINGS = 4000
-ORDINARY_DOCUMENTS = 2000
+ORDINARY_DOCUMENTS = 500
 ORDINARY_CODE_POINTS = 10_000
 SEED = 5
 #: Tokens of fewer different characters are rulers and fillers, not secrets.
