@@ -46,6 +46,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rowloom/{name}-{uuid.uuid4().hex}"
 
 
+def hold_splits(spark: SparkSession) -> None:
+    """From now on file scans of the session are split alike, even if executors come and go.
+
+    Spark derives the size of a split from the number of cores that it sees; rows numbered in one scan would have
+    other numbers in the next. A number of partitions that the session sets itself stays.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back.
 

@@ -106,3 +106,16 @@ def test_windowed_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("win_out").agg({"n": "sum"}).first()[0] == src.count()
+
+
+def test_splits_are_held_once(spark):
+    from rowloom.session import hold_splits
+
+    key = "spark.sql.files.minPartitionNum"
+    spark.conf.unset(key)
+    hold_splits(spark)
+    assert spark.conf.get(key) == str(spark.sparkContext.defaultParallelism)
+    spark.conf.set(key, "3")
+    hold_splits(spark)
+    assert spark.conf.get(key) == "3"
+    spark.conf.unset(key)
