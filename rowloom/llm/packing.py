@@ -5,7 +5,7 @@ from the counts of its piece lengths - at most `capacity` numbers, however large
 many bins have which lengths. The plan starts as best-fit decreasing and is then improved by local search over classes
 of equal underfull bins: a piece moves to another bin, one is exchanged for one, or two for one, whenever the sum of
 squared fills rises; bins that become empty vanish. One step acts on as many bins of a class as possible. Pieces are
-dealt to the plan's slots by their rank among pieces of equal length, which two narrow shuffles find exactly.
+dealt to the plan's slots by their rank among pieces of equal length, found exactly inside buckets of bounded size.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from rowloom.session import materialise
 
 #: Improving steps of the local search at most; each is a step on a whole class of bins.
 MAX_STEPS = 5_000
-#: Rank buckets for each length: a hot length is ranked by this many tasks.
-RANK_BUCKETS = 64
+#: Rank buckets for each length at least, and pieces of a bucket beyond that: a hot length is ranked by many tasks.
+RANK_BUCKETS, BUCKET_ROWS = 64, 500_000
+#: Buckets whose shifts are broadcast (24 bytes each); more are joined by a shuffle on the key that ranks use already.
+BROADCAST_BUCKETS = 1_000_000
 
 _encoders: dict[str, object] = {}
 
@@ -263,17 +265,25 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     columns are ignored. An empty table gives an empty table.
     The driver sees the counts of piece lengths (at most `capacity` numbers) and the plan.
     """
-    cut = materialise(pieces(docs, tokenizer, capacity, end_id, key, text), "pieces")
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int"))
-    by_bucket = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = [(r.length, r.n) for r in by_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect()]  # at most capacity rows
-    plan = Plan(dict(counts), capacity)
+    numbered = pieces(docs, tokenizer, capacity, end_id, key, text).withColumn("row", F.monotonically_increasing_id())
+    cut = materialise(numbered, "pieces")
+    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    plan = Plan(counts, capacity)
     spark = docs.sparkSession
-    # ranks among equal lengths: inside a bucket, then shifted by the buckets before it
+    # ranks among equal lengths: inside a bucket, then shifted by the buckets before it; a bucket takes rows by number,
+    # so neither a hot length nor a key that repeats fills one
+    hot = {length: -(-n // BUCKET_ROWS) for length, n in counts.items() if n > RANK_BUCKETS * BUCKET_ROWS}
+    buckets = F.lit(RANK_BUCKETS).cast("long")
+    if hot:
+        sizes = F.create_map(*(F.lit(x).cast("long") for pair in hot.items() for x in pair))
+        buckets = F.coalesce(F.element_at(sizes, F.col("length")), buckets)
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("row"), buckets))
+    by_bucket = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    shift = by_bucket.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("shift"))  # at most capacity * RANK_BUCKETS rows
-    local = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key", "piece", "ids_crc32", "start")) - 1
-    ranked = cut.withColumn("local", local).join(F.broadcast(shift), ["length", "bucket"]).withColumn("rank", F.col("shift") + F.col("local"))
+    shift = by_bucket.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("shift"))
+    small = capacity * RANK_BUCKETS + sum(hot.values()) <= BROADCAST_BUCKETS
+    local = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
+    ranked = cut.withColumn("local", local).join(F.broadcast(shift) if small else shift, ["length", "bucket"]).withColumn("rank", F.col("shift") + F.col("local"))
     return _deal(ranked, spark, plan).select(F.col("key").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

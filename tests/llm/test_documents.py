@@ -274,6 +274,23 @@ def test_packing_of_odd_rows(odd_docs):
     assert packing.pack(odd_docs, BPE).where("doc_id = 1 or doc_id is null").count() == 3
 
 
+def test_hot_lengths_are_ranked_in_more_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_BUCKETS", 2)
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(packing, "BROADCAST_BUCKETS", 0)
+    df = spark.createDataFrame([(7, "one and the same text")] * 300 + [(k, "word " * (k % 40)) for k in range(100, 200)], "doc_id long, text string")
+    rows = packing.pack(df, BPE, capacity=64).collect()
+    places = {(r.sequence_id, r.offset) for r in rows}
+    assert len(rows) == len(places) == 400
+    for r in rows:
+        assert r.offset == 0 or any((r.sequence_id, r.offset - n) in places for n in range(1, 65))
+    ends = defaultdict(list)
+    for r in rows:
+        ends[r.sequence_id].append((r.offset, r.offset + r.length))
+    assert all(a[1] == b[0] for e in ends.values() for a, b in zip(sorted(e)[:-1], sorted(e)[1:], strict=True))
+    assert all(max(e)[1] <= 64 for e in ends.values())
+
+
 def test_plans_keep_counts_and_reach_small_optima():
     r = random.Random(4)
     for _ in range(30):
