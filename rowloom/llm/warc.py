@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.session import materialise, scratch_path
+from rowloom.session import hold_splits, materialise, scratch_path
 
 #: Magic numbers of the skippable frame with a dictionary, of ordinary frames and of raw dictionaries.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -139,13 +139,14 @@ def write(pages: DataFrame, folder: str, minimum: int = 0, archive_bytes: int =
     """
     spark = pages.sparkSession
     target = _local(folder)
+    hold_splits(spark)  # rows are numbered in more than one scan
     narrow = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").alias("html"))
     marks = _plan_records(narrow, minimum)
     share = min(1.0, 1.5 * SAMPLE_RECORDS / max(1, narrow.count()))
     some = narrow.where("html is not null").select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).sample(False, share, SEED).limit(SAMPLE_RECORDS).collect()  # bounded sample
     samples = [record(r.page_id, r.url, p := r.html.encode(), digest(p)) for r in some]
     words = train(samples)
-    ready = narrow.join(marks, "row", "left")
+    ready = narrow.join(marks, "row", "left").sortWithinPartitions("row")  # a repeated task meets its rows in the same order
     os.makedirs(target, exist_ok=True)
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
