@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import text_chunks
-from rowloom.session import materialise
+from rowloom.session import hold_splits, materialise
 
 SHINGLE = 5
 #: Bytes of the signature that estimates similarity, and minwise tokens that paths choose from.
@@ -149,7 +149,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows by number: a scan numbers its rows alike each time it runs over the same files."""
+    """Rows by number: with splits held, a scan numbers its rows alike each time it runs over the same files."""
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.col(text).alias("text"))
 
 
@@ -343,6 +343,7 @@ class ChosenPath:
     def __init__(self, docs: DataFrame, key: str, text: str, percent: int, size: int, recall: float, leaf: int):
         if not 50 <= percent <= 100:
             raise ValueError("the threshold is a similarity of 50 to 100 percent")
+        hold_splits(docs.sparkSession)  # rows are numbered in more than one scan
         self.docs, self.key, self.text, self.percent, self.size, self.leaf = docs, key, text, percent, size, leaf
         share = percent / 100
         self.floor = share - SLACK * math.sqrt(share * (1 - share) / ESTIMATE)

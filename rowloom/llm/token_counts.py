@@ -2,9 +2,10 @@
 
 A byte-level BPE first splits a text into pre-tokens and then merges inside each of them, so that a text's count is
 the sum over its distinct pre-tokens of (how often it occurs) times (how many pieces it makes). Each batch of
-documents becomes per-document pre-token frequencies; the pieces of a pre-token are counted once, when it is first
-seen, and joined to the frequencies by pre-token; the products are summed. The join runs inside the task that holds
-the documents, so no pre-token and no id is shuffled or stored: work grows with the text and needs no exchange.
+documents becomes per-document pre-token frequencies; a worker counts the pieces of a pre-token when it first sees it
+(so once in each worker, not once in the whole corpus) and joins them to the frequencies by pre-token; the products
+are summed. The join runs inside the task that holds the documents, so no pre-token and no id is shuffled or stored:
+work grows with the text and needs no exchange.
 """
 
 from __future__ import annotations
