@@ -50,11 +50,12 @@ def hold_splits(spark: SparkSession) -> None:
     """From now on file scans of the session are split alike, even if executors come and go.
 
     Spark derives the size of a split from the number of cores that it sees; rows numbered in one scan would have
-    other numbers in the next. A number of partitions that the session sets itself stays.
+    other numbers in the next. A number of partitions that the session sets itself stays; else it is that of shuffles
+    or of the cores now registered, whichever is larger, as few executors may have come yet.
     """
     key = "spark.sql.files.minPartitionNum"
     if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+        spark.conf.set(key, str(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -114,7 +114,8 @@ def test_splits_are_held_once(spark):
     key = "spark.sql.files.minPartitionNum"
     spark.conf.unset(key)
     hold_splits(spark)
-    assert spark.conf.get(key) == str(spark.sparkContext.defaultParallelism)
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.conf.get(key) == str(max(spark.sparkContext.defaultParallelism, shuffles))
     spark.conf.set(key, "3")
     hold_splits(spark)
     assert spark.conf.get(key) == "3"
