@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of a token; a model knows these and the start of a token.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]"
-MIN_TOKEN = 20
+MIN_TOKEN = 12
 #: A token is reported if its log-likelihood ratio exceeds this, in total and for each character.
 MIN_RATIO, MIN_RATIO_EACH = 20.0, 1.0
 SMOOTHING = 0.5

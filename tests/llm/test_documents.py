@@ -155,6 +155,16 @@ def test_redaction_takes_spans_out(spark, markov, odd_docs, no_docs):
     assert secrets.redact(no_docs, markov).count() == 0 == secrets.scan(no_docs, markov).count()
 
 
+def test_short_random_tokens_are_scored(spark, markov):
+    r = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    hidden = ["".join(r.choice(alphabet) for _ in range(n)) for n in range(12, 20) for _ in range(10)]
+    plain = ["undeinungkeiter", "withthenatble", "getElementById", "application/json", "user_id_123456", "2024-11-26-15-30", "192-168-100-250", "x86_64-linux-gnu", "us-east-1a-prod"]
+    got = secrets.scan(docs(spark, [f"see {x} here" for x in hidden + plain]), markov).orderBy("doc_id").collect()
+    assert sum(x.spans == f"markov:4:{4 + len(h)}" for x, h in zip(got, hidden)) >= 76
+    assert [x.spans for x in got[len(hidden) :]] == [""] * len(plain)
+
+
 # Sampled segmentations.
 @pytest.fixture(scope="module")
 def lattices():
