@@ -124,10 +124,30 @@ def _found(text: Column, pattern: str, kind: int, value_group: int | None = None
     return F.when(text.rlike(pattern), F.aggregate(each, start, extend, lambda acc: acc["spans"])).otherwise(F.array().cast(f"array<{span}>"))
 
 
+def _uncovered(token: Column, base: Column) -> Column:
+    """The stretches of a token between the base spans (sorted by start) that overlap it, as spans."""
+    over = F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"]))
+    span = "struct<start:int,kind:int,end:int,value:string>"
+    start = F.struct(token["start"].alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
+
+    def stretch(begin: Column, end: Column) -> Column:
+        value = F.substr(token["value"], begin - token["start"] + 1, F.greatest(end - begin, F.lit(0)))
+        return F.struct(begin.alias("start"), token["kind"].alias("kind"), end.alias("end"), value.alias("value")).cast(span)
+
+    def cut(acc: Column, b: Column) -> Column:
+        before = F.concat(acc["spans"], F.array(stretch(acc["at"], b["start"])))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(b["start"] > acc["at"], before).otherwise(acc["spans"]).alias("spans"))
+
+    def rest(acc: Column) -> Column:
+        return F.when(acc["at"] < token["end"], F.concat(acc["spans"], F.array(stretch(acc["at"], token["end"])))).otherwise(acc["spans"])
+
+    return F.when(F.size(over) == 0, F.array(token.cast(span))).otherwise(F.aggregate(over, start, cut, rest))
+
+
 def spans(docs: DataFrame, model: MarkovModel, text: str = "text") -> DataFrame:
     """docs with __base and __all: sorted arrays of (start, kind, end, value); __all has the Markov spans too.
 
-    Markov spans are tokens of MIN_TOKEN characters or more that do not overlap a base span.
+    Markov spans are stretches of tokens, of MIN_TOKEN characters or more, that no base span covers.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("__t", t)
@@ -139,7 +159,7 @@ def spans(docs: DataFrame, model: MarkovModel, text: str = "text") -> DataFrame:
     tokens = _found(t, TOKEN + f"{{{MIN_TOKEN},}}", 3)
     df = df.withColumns({"__base": F.sort_array(F.concat(assign, access, hex_)), "__tokens": tokens}).drop("__t")
     varied = lambda s: F.size(F.array_distinct(F.split(s["value"], ""))) >= MIN_DISTINCT
-    clear = F.filter("__tokens", lambda s: varied(s) & ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    clear = F.filter(F.flatten(F.transform("__tokens", lambda s: _uncovered(s, F.col("__base")))), lambda s: (s["end"] - s["start"] >= MIN_TOKEN) & varied(s))
     scored = F.transform(clear, lambda s: F.struct(s.alias("s"), model.score(s["value"]).alias("ratio")))
     random = F.filter(scored, lambda e: (e["ratio"] > MIN_RATIO) & (e["ratio"] > MIN_RATIO_EACH * (e["s"]["end"] - e["s"]["start"])))
     df = df.withColumn("__all", F.when(F.size("__tokens") == 0, F.col("__base")).otherwise(F.sort_array(F.concat("__base", F.transform(random, lambda e: e["s"])))))
