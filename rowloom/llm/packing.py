@@ -23,8 +23,6 @@ from pyspark.sql.window import Window
 from rowloom.llm.common import text_chunks
 from rowloom.session import materialise
 
-#: Improving steps of the local search at most; each is a step on a whole class of bins.
-MAX_STEPS = 5_000
 #: Rank buckets for each length at least, and pieces of a bucket beyond that: a hot length is ranked by many tasks.
 RANK_BUCKETS, BUCKET_ROWS = 64, 500_000
 #: Buckets whose shifts are broadcast (24 bytes each); more are joined by a shuffle on the key that ranks use already.
@@ -166,12 +164,13 @@ class Plan:
                 self.bins[tuple(sorted(lengths, reverse=True))] += n
 
     def _local_search(self) -> int:
-        """Take improving exchanges until none is left, the lower bound is met or MAX_STEPS is reached."""
+        """Take improving exchanges until none is left or the lower bound is met; squared fills rise, so it ends."""
         weight = sum(sum(b) * n for b, n in self.bins.items())
         least = -(-weight // self.capacity)
         steps, dead = 0, set()
-        while steps < MAX_STEPS and self.total > least:
+        while self.total > least:
             # the emptiest class gives pieces away, the fullest underfull ones take them
+            fresh = set()
             under = sorted((b for b in self.bins if sum(b) < self.capacity), key=sum)
             for giver in under:
                 if giver in dead:
@@ -179,9 +178,13 @@ class Plan:
                 step = self._step(giver, under)
                 if step:
                     break
-                dead.add(giver)
+                fresh.add(giver)
             else:
-                break
+                if not dead:
+                    break
+                dead.clear()  # givers passed over may have an exchange with bins that changed since
+                continue
+            dead |= fresh
             for bins, sign in ((step[0], -1), (step[1], 1)):
                 for b in bins:
                     if b:

@@ -330,6 +330,16 @@ def test_plans_keep_counts_and_reach_small_optima():
     assert packing.Plan({6: 1, 5: 1, 4: 1, 3: 1, 2: 1}, 10).total == 2
 
 
+def test_local_search_ends_without_improving_exchanges():
+    assert packing.Plan({11: 6, 9: 3, 16: 3, 14: 6, 24: 2, 50: 5, 13: 4}, 64).total == 9
+    r = random.Random(1)
+    for _ in range(60):
+        counts = {r.randrange(5, 60): r.randrange(1, 9) for _ in range(r.randrange(3, 25))}
+        plan = packing.Plan(dict(counts), 64)
+        under = sorted((b for b in plan.bins if sum(b) < 64), key=sum)
+        assert plan.total == -(-sum(k * n for k, n in counts.items()) // 64) or not any(plan._step(b, under) for b in under)
+
+
 def test_encoder_equals_the_library_on_extreme_texts():
     e, t = packing.encoder(BPE), tokenizer()
     assert e.fast is not None
