@@ -26,10 +26,14 @@ DICTIONARY_FRAME = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
 #: An archive is closed once its compressed size passes this.
 ARCHIVE_BYTES = 16 << 20
-#: The dictionary is trained on this many records at most, and on this many bytes of each.
+#: The dictionary is trained on about this many records, more where they are short, and on this many characters of each.
 SAMPLE_RECORDS = 400
 SAMPLE_BYTES = 16 << 10
+#: Size of the dictionary at most; a small sample gives a smaller one, of one byte for each SAMPLE_SHARE sampled.
 DICTIONARY_BYTES = 64 << 10
+SAMPLE_SHARE = 8
+#: Fixed value: the least size of a dictionary that the library trains.
+LEAST_DICTIONARY = 256
 LEVEL = 3
 SEED = 3
 #: Fixed value: the profile of revisits with an identical payload.
@@ -94,10 +98,11 @@ def train(samples: list[bytes]) -> bytes:
     """A dictionary of archived records; empty where there is too little to learn from."""
     import zstandard
 
-    if sum(map(len, samples)) < 8 * DICTIONARY_BYTES or len(samples) < 16:
+    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // SAMPLE_SHARE)
+    if size < LEAST_DICTIONARY:
         return b""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too uniform: records compress without one
         return b""
 
@@ -142,8 +147,11 @@ def write(pages: DataFrame, folder: str, minimum: int = 0, archive_bytes: int =
     hold_splits(spark)  # rows are numbered in more than one scan
     narrow = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").alias("html"))
     marks = _plan_records(narrow, minimum)
-    share = min(1.0, 1.5 * SAMPLE_RECORDS / max(1, narrow.count()))
-    some = narrow.where("html is not null").select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).sample(False, share, SEED).limit(SAMPLE_RECORDS).collect()  # bounded sample
+    known = narrow.where("html is not null").select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    found = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("size")).first()
+    each = found.size // max(1, found.n) + len(record(None, None, b"", digest(b"")))
+    wanted = max(SAMPLE_RECORDS, -(-SAMPLE_SHARE * DICTIONARY_BYTES // each))  # a header has some 300 bytes, so under 2,000
+    some = known.sample(False, min(1.0, 1.5 * wanted / max(1, found.n)), SEED).limit(wanted).collect()  # bounded sample
     samples = [record(r.page_id, r.url, p := r.html.encode(), digest(p)) for r in some]
     words = train(samples)
     ready = narrow.join(marks, "row", "left").sortWithinPartitions("row")  # a repeated task meets its rows in the same order

@@ -123,6 +123,17 @@ def test_archives_hold_their_dictionary_and_each_record_apart(spark, tmp_path):
         warc.write(df, "hdfs://somewhere/x")
 
 
+def test_small_tables_and_short_pages_have_a_dictionary(spark, tmp_path):
+    few = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    short = pages(spark, [(k, f"http://a/{k}", f"<p>page {k * 7919 % 1000} of {k * 31 % 97}</p>") for k in range(4000)])
+    for name, df, least in (("few", few, 8_000), ("short", short, 30_000)):
+        archive = warc.write(df, f"{tmp_path}/{name}").first().archive
+        magic, size = struct.unpack_from("<II", open(archive, "rb").read(8))
+        assert magic == warc.DICTIONARY_FRAME and size > least, (name, size)
+        assert warc.read(spark, f"{tmp_path}/{name}").count() == df.count()
+    assert warc.train([]) == warc.train([b"x" * 100]) == warc.train([b"abc" * 900] * 3) == b""
+
+
 def test_revisits_and_odd_pages(spark):
     same = "<p>é</p>"
     rows = [(5, "http://a", same), (3, "http://b", same), (9, None, same), (7, "u", None), (2, "u\nv", ""), (None, "http://n", same), (4, "w", "x" * 70_000), (3, "http://b", same)]
