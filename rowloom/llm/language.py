@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from rowloom.llm.common import text_chunks
 
-#: Hash buckets of n-grams; with at most MAX_LANGUAGES columns of 4 bytes the matrix stays under 64 MB.
+#: Hash buckets of n-grams; a block of at most BLOCK_LANGUAGES columns of 4 bytes stays under 64 MB.
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 256
+BLOCK_LANGUAGES = 256
 ORDERS = (1, 2, 3, 4)
 #: Labelled documents for each language that the model is fitted on, about, and the tasks that read them.
 SAMPLE_PER_LANGUAGE = 1000
@@ -50,23 +50,15 @@ def buckets_of(text: str) -> Iterator[np.ndarray]:
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    weights: np.ndarray  # (languages, BUCKETS) float32 log-probabilities
+    blocks: tuple[np.ndarray, ...]  # each (languages of the block, BUCKETS) float32 log-probabilities, in the order of languages
     prior: np.ndarray
 
-    def scores(self, text: str) -> np.ndarray:
-        """Log-posterior up to a constant, over every n-gram of the whole text."""
-        total = self.prior.astype(np.float64).copy()
-        for b in buckets_of(text):
-            for k, column in enumerate(self.weights):
-                total[k] += column[b].sum(dtype=np.float64)
-        return total
 
-    def predict(self, text: str) -> tuple[str, float]:
-        s = self.scores(text)
-        p = np.exp(s - s.max())
-        p /= p.sum()
-        k = int(p.argmax())  # a tie goes to the first language in alphabetical order
-        return self.languages[k], float(p[k])
+def _add_scores(total: np.ndarray, weights: np.ndarray, text: str) -> None:
+    """Add the log-likelihoods of every n-gram of the whole text to the block's part of the scores."""
+    for b in buckets_of(text):
+        for k, column in enumerate(weights):
+            total[k] += column[b].sum(dtype=np.float64)
 
 
 def held_out(key: Column) -> Column:
@@ -78,15 +70,22 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Counts n-grams of about per_language labelled, not held-out rows for each language.
 
     The sample is stratified and seeded: one count for each language sets its share, and rows are drawn where they
-    lie, so no text moves to be chosen. The counts return as one row of BUCKETS numbers for each language and task,
-    merged on the driver: bounded by the sample, not by the corpus.
+    lie, so no text moves to be chosen. Languages are counted in blocks of BLOCK_LANGUAGES, one scan each. The counts
+    return as one row of BUCKETS numbers for each language and task, merged on the driver: bounded by the sample, not
+    by the corpus. Every language is learned; the driver keeps 256 KB for each.
     """
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     labelled = labelled.where(F.col("lang").isNotNull() & ~held_out(F.col("key")))
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    shares = {r.lang: min(1.0, per_language / r.n) for r in sizes}
-    if not shares:
-        return LanguageModel((), np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    shares = sorted((r.lang, min(1.0, per_language / r.n)) for r in sizes)
+    fitted = [_fit_block(labelled, dict(shares[k : k + BLOCK_LANGUAGES])) for k in range(0, len(shares), BLOCK_LANGUAGES)]
+    fitted = [x for x in fitted if x[0]]
+    documents = np.array([n for _, _, seen in fitted for n in seen], dtype=np.float64)
+    return LanguageModel(tuple(x for names, _, _ in fitted for x in names), tuple(w for _, w, _ in fitted), np.log(documents / documents.sum()))
+
+
+def _fit_block(labelled: DataFrame, shares: dict[str, float]) -> tuple[tuple[str, ...], np.ndarray, list[int]]:
+    """Languages (those with a sampled text), log-probabilities and sampled documents of one block."""
     chosen = labelled.sampleBy("lang", shares, SEED).where("text is not null")
     # one task's matrix for each language is small, but many tasks have few sampled rows: gather them in a few tasks
     chosen = chosen.select("lang", F.substring("text", 1, SAMPLE_CODE_POINTS).alias("text")).repartition(TRAINING_TASKS)
@@ -111,10 +110,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         documents[r.lang] = documents.get(r.lang, 0) + r.docs
     languages = tuple(sorted(gathered))
     if not languages:
-        return LanguageModel((), np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+        return (), np.zeros((0, BUCKETS), np.float32), []
     counts = np.stack([gathered[x] for x in languages]) + SMOOTHING
-    prior = np.log(np.array([documents[x] for x in languages]) / sum(documents.values()))
-    return LanguageModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), prior)
+    return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), [documents[x] for x in languages]
 
 
 def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -124,7 +122,8 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
     a model without languages give ``und`` with score 0. Ties go to the alphabetically first language. Null or
     repeated keys: each row is predicted by itself. Other columns are ignored, whatever their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x MAX_LANGUAGES floats
+    shared = [docs.sparkSession.sparkContext.broadcast(w) for w in model.blocks]  # each at most BUCKETS x BLOCK_LANGUAGES floats
+    languages, prior = model.languages, model.prior
     names = [f"keep_{k}" for k in range(len(keep))]
     narrow = docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
     out = [f for f in narrow.schema if f.name != "text"]
@@ -134,9 +133,26 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
         import regex
 
         letter = regex.compile(r"\p{L}")
-        m = shared.value
         for batch, texts in text_chunks(batches):
-            found = [m.predict(t) if m.languages and letter.search(t) else (UNDETERMINED, 0.0) for t in texts]
+            totals = [prior.astype(np.float64) if languages and letter.search(t) else None for t in texts]
+            first = 0
+            for block in shared:
+                weights = block.value
+                for t, total in zip(texts, totals, strict=True):
+                    if total is not None:
+                        _add_scores(total[first : first + len(weights)], weights, t)
+                first += len(weights)
+                if len(shared) > 1 and getattr(block, "_path", None):
+                    vars(block).pop("_value", None)  # one block in memory at a time; the next use reads its file again
+            found = []
+            for s in totals:
+                if s is None:
+                    found.append((UNDETERMINED, 0.0))
+                    continue
+                p = np.exp(s - s.max())
+                p /= p.sum()
+                k = int(p.argmax())  # a tie goes to the first language in alphabetical order
+                found.append((languages[k], float(p[k])))
             kept = [batch.column(batch.schema.get_field_index(c)) for c in carried]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*carried, "lang_pred", "score"])
 

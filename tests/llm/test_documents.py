@@ -378,6 +378,21 @@ def test_prediction_ignores_labels(spark):
     assert one == language.predict(df.selectExpr("doc_id", "text", "'xx' as lang", "'y' as source"), model).orderBy("doc_id").collect()
 
 
+def test_every_language_is_learned_in_blocks(spark, monkeypatch):
+    """More labels than one block holds: the rarest are predicted too, exactly as by a single block."""
+    names = [f"l{k:03d}" for k in range(300)]
+    rows = [(k, f"{chr(0x4E00 + 7 * k)}{chr(0x4E01 + 7 * k)} " * 6, names[k]) for k in range(300)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df = df.selectExpr("IF(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2, NULL, doc_id) AS doc_id", "text", "lang")
+    model = language.fit(df)
+    assert model.languages == tuple(names) and [len(w) for w in model.blocks] == [256, 44]
+    got = language.predict(df, model, keep=("lang",)).collect()
+    assert all(r.lang == r.lang_pred for r in got)
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", 1000)
+    one = language.predict(df, language.fit(df), keep=("lang",)).collect()
+    assert Counter(got) == Counter(one)
+
+
 # Quality rules.
 def measured(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
