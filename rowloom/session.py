@@ -66,7 +66,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def drop_table(table: DataFrame) -> None:
+    """Delete a table of materialise() that no later result reads."""
+    drop_path(table.sparkSession, table.written_path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
