@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import text_chunks
+from rowloom.llm.common import sorted_groups, text_chunks
 from rowloom.session import hold_splits, materialise
 
 SHINGLE = 5
@@ -174,29 +174,6 @@ def fingerprints(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return _numbered(docs, key, text).mapInArrow(run, f"uid long, key {kind}, n long, k1 long, k2 long, estimate binary, path array<int>")
 
 
-def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of equal first column from sorted batches; each run is held whole, so runs have to be bounded."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(node[1:] != node[:-1]) + 1
-        if held and held[0].column(0)[0].as_py() != node[0]:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
-        if not len(cuts):
-            held.append(batch)
-            continue
-        yield pa.Table.from_batches([*held, batch.slice(0, cuts[0])]).combine_chunks()
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b - a > 1:
-                yield pa.Table.from_batches([batch.slice(a, b - a)])
-        held = [batch.slice(cuts[-1])]
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _by_node(df: DataFrame) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, "node").sortWithinPartitions("node")
@@ -387,7 +364,7 @@ class ChosenPath:
         rows = self._labelled(leaves.join(own, "uid")).join(self.prints.select("uid", "n", "k1", "estimate"), "uid")
 
         def filter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in _sorted_groups(batches):
+            for t in sorted_groups(batches):
                 if t.num_rows > 1 and len(rows := _near(t, floor, percent)):
                     yield t.select(["node", "uid", "label", "k1"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
 
@@ -404,7 +381,7 @@ class ChosenPath:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["uid", "members"])
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in _sorted_groups(batches):
+            for t in sorted_groups(batches):
                 if t.num_rows < 2:
                     continue
                 sets = [np.frombuffer(b, dtype=np.uint64) for b in t["members"].to_pylist()]
