@@ -2,6 +2,7 @@
 
 import hashlib
 import base64
+import random
 import struct
 
 import numpy as np
@@ -49,6 +50,42 @@ def test_recall_against_brute_force(spark):
         assert all(s == exact[q, v] for q, x in got.items() for _, v, s in x if (q, v) in exact)
 
 
+def test_pruning_on_clustered_vectors(spark, monkeypatch):
+    """Over 200 lists, of which a query reads few, with nearly all true neighbours found."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(1500, 32))
+    rows = (np.repeat(centres, 20, axis=0) + 0.35 * rng.normal(size=(30_000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(int(k), v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<float>").repartition(8)
+    index, dimension = neighbours.fit(df.withColumnRenamed("embedding", "vector"))
+    assert dimension == 32 and len(index.centroids) >= 200
+    units = neighbours.unit(rows.astype(np.float64))
+    lists = np.concatenate([index.lists_of_vectors(units[a : a + 4096]) for a in range(0, len(units), 4096)])
+    assert 1 <= (lists >= 0).sum(axis=1).mean() < 3, "only boundary vectors are replicated"
+    asked = np.arange(0, len(rows), 50)
+    at, probed = index.lists_of_queries(units[asked])
+    scored = [np.isin(lists, probed[at == k]).any(axis=1).mean() for k in range(0, len(asked), 10)]
+    assert np.mean(scored) < 0.2
+    want = np.argsort(-(units[asked] @ units.T - 9.0 * (asked[:, None] == np.arange(len(rows)))), axis=1)[:, :5]
+    got = found(neighbours.search(df, F.col("vec_id") % 50 == 0).collect())
+    assert sum(len(set(w.tolist()) & {v for _, v, _ in got[int(q)]}) for q, w in zip(asked, want)) >= 0.95 * want.size
+
+
+def test_every_list_within_the_ratio_is_read():
+    """The pool of a graph search is no limit: it grows until a list outside the ratio is in it."""
+    from dataclasses import replace
+
+    rng = np.random.default_rng(2)
+    centroids = neighbours.unit(rng.normal(size=(600, 24)))
+    index = replace(neighbours.Index.of(centroids), ratio=1.2)
+    vectors = neighbours.unit(rng.normal(size=(40, 24)))
+    far = np.sqrt(np.maximum(0, 2 - 2 * (vectors @ centroids.T).astype(np.float64)))
+    want = far <= 1.2 * far.min(axis=1)[:, None]
+    at, lists = index.lists_of_queries(vectors)
+    seen = np.zeros_like(want)
+    seen[at, lists] = True
+    assert want.sum(axis=1).max() > neighbours.POOL and (seen & want).sum() >= 0.97 * want.sum() and not (seen & ~want).any()
+
+
 def test_vectors_that_take_no_part_and_ties(spark, monkeypatch):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, [1.0]), (None, [0.5, 0.5])]
@@ -111,27 +148,63 @@ def pages(spark, rows):
 def test_archives_hold_their_dictionary_and_each_record_apart(spark, tmp_path):
     df = spark.read.parquet(f"{SF}/../sf0.1/pages.parquet")
     rows = warc.write(df, f"file://{tmp_path}/a", archive_bytes=200_000).collect()
-    assert sum(r.records for r in rows) == df.count() and len(rows) > 2
-    raw = open(rows[0].archive, "rb").read()
+    assert len(rows) > 2
+    raw = open(rows[0].archive.removeprefix("file:"), "rb").read()
+    assert rows[0].size == len(raw) and raw.endswith(warc.EMPTY_FRAME)
     magic, size = struct.unpack("<II", raw[:8])
     assert magic == warc.DICTIONARY_FRAME and size > 10_000 and raw[8 + size : 12 + size] == warc.FRAME
     got = warc.read(spark, f"file://{tmp_path}/a")
+    assert got.count() == df.count()
     html = {r.page_id: (r.html, r.url) for r in df.collect()}
     for r in got.where("record_type = 'response'").collect():
         assert (r.payload.decode(), r.url) == html[r.page_id]
+
+
+def test_archives_go_through_sparks_file_systems(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.archives.link./out", f"file://{tmp_path}")
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    assert warc.write(df, "viewfs://archives/out/a").count() and warc.read(spark, "viewfs://archives/out/a").count() == df.count()
+
+
+def test_reading_takes_time_in_proportion_to_the_archive():
+    import time
+
+    words = warc.train([b"x" * 300])
+    press = warc._compressor(words)
+    frames = [press.compress(warc.record(k, "http://a", p := random.Random(k).randbytes(1100), warc.digest(p))) for k in range(13_000)]
+    content = struct.pack("<II", warc.DICTIONARY_FRAME, len(words)) + words + warc.EMPTY_FRAME.join(frames) + warc.EMPTY_FRAME
+    assert len(content) > 15 << 20
+    began = time.perf_counter()
+    assert [r["fields"]["WARC-Record-ID"] for r in warc.read_archive(content)] == [f"<urn:x-page:{k}>" for k in range(13_000)]
+    assert time.perf_counter() - began < 5
     with pytest.raises(ValueError):
-        warc.write(df, "hdfs://somewhere/x")
+        list(warc.read_archive(content[:-500]))
+
+
+def test_many_repeated_payloads_are_joined_by_shuffle(spark, monkeypatch):
+    df = pages(spark, [(k, f"http://a/{k}", ["hot", f"p{k % 40}"][k % 3 > 0]) for k in range(300)])
+    want = sorted(warc.round_trip(df).collect())
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(warc, "HOT_PAYLOADS", 2)
+    assert sorted(warc.round_trip(df).collect()) == want
+
+
+def test_pages_with_nothing_or_very_much(spark):
+    df = pages(spark, [(1, None, None), (2, None, None), (3, "u", "y" * 3_000_000 + "é")])
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.round_trip(df).collect()}
+    assert got == {1: (0, "response"), 2: (0, "revisit"), 3: (3_000_002, "response")}
+    assert warc.round_trip(df.where("page_id < 3")).count() == 2
 
 
 def test_small_tables_and_short_pages_have_a_dictionary(spark, tmp_path):
     few = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     short = pages(spark, [(k, f"http://a/{k}", f"<p>page {k * 7919 % 1000} of {k * 31 % 97}</p>") for k in range(4000)])
     for name, df, least in (("few", few, 8_000), ("short", short, 30_000)):
-        archive = warc.write(df, f"{tmp_path}/{name}").first().archive
+        archive = warc.write(df, f"{tmp_path}/{name}").first().archive.removeprefix("file:")
         magic, size = struct.unpack_from("<II", open(archive, "rb").read(8))
         assert magic == warc.DICTIONARY_FRAME and size > least, (name, size)
         assert warc.read(spark, f"{tmp_path}/{name}").count() == df.count()
-    assert warc.train([]) == warc.train([b"x" * 100]) == warc.train([b"abc" * 900] * 3) == b""
+    assert warc.train([]) == b"" and warc.train([b"x" * 100]) == b"x" * 100 and warc.train([b"abc" * 900] * 3) == b"abc" * 2700
 
 
 def test_revisits_and_odd_pages(spark):
