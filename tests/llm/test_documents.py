@@ -248,11 +248,23 @@ def test_token_counts_equal_the_library(spark, odd_docs, no_docs):
     assert token_counts.count_tokens(no_docs, BPE).count() == 0
 
 
-def test_remembered_counts_start_anew(monkeypatch):
-    monkeypatch.setattr(token_counts, "REMEMBERED", 2)
-    counts = token_counts.PieceCounts(BPE)
-    assert [counts[w] for w in (" the", " qzxv", " the", " of", "y" * 100)] == [len(tokenizer().encode(w).ids) for w in (" the", " qzxv", " the", " of", "y" * 100)]
-    assert len(counts) <= 2
+def test_rare_and_long_pre_tokens_are_joined_by_shuffle(spark, odd_docs, monkeypatch):
+    """With few pre-tokens broadcast and early hand-overs the counts are the same, whatever a pre-token's length."""
+    monkeypatch.setattr(token_counts, "HOT", 5)
+    monkeypatch.setattr(token_counts, "COLLECTED", 7)
+    t = tokenizer()
+    texts = ["x" * 70 + " " + "=" * 300, "=" * 300 + "\n" + "=" * 301, " a1" + "0" * 32, "the the the cat", " " * 100 + "é" * 65, "<|endoftext|>" * 9]
+    for df in (docs(spark, texts * 3), odd_docs):
+        want = Counter((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect())
+        assert Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(df, BPE).collect()) == want
+
+
+def test_pieces_are_counted_once_for_each_distinct_pre_token(spark):
+    rows = token_counts.vocabulary(docs(spark, ["a b a", "b a", "c" * 100, "c" * 100]).repartition(4), BPE).collect()
+    names = [r.name for r in rows]
+    assert len(names) == len(set(names)) and {r.name: r.n for r in rows if len(r.name) < 9} == {"a": 1, " a": 2, " b": 1, "b": 1}
+    long = [r for r in rows if r.name.startswith(token_counts.DIGEST)]
+    assert [(r.n, r.pieces) for r in long] == [(2, len(tokenizer().encode("c" * 100).ids))]
 
 
 def check_packing(rows, texts, capacity):
