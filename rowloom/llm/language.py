@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of a bounded sample of labelled rows; the model is one matrix of log-probabilities
-(N-gram buckets by languages) that goes to every task. Scoring is a sparse product in numpy: the text's bucket numbers
-pick rows of the matrix, which are added up.
+(n-gram buckets by languages) that goes to every task. Scoring is a sparse product in numpy for a batch of texts at
+once: the n-grams of all texts lie in one array, their bucket numbers pick rows of the matrix, which are added up text
+by text for all languages together.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ ORDERS = (1, 2, 3, 4)
 SAMPLE_PER_LANGUAGE = 1000
 TRAINING_TASKS = 8
 SEED = 7
-#: Code points of each sampled document that training reads; prediction always reads whole texts.
-SAMPLE_CODE_POINTS = 20_000
+#: N-grams whose rows are added up at once: 16 MB for a full block of languages.
+GATHERED = 1 << 14
 SMOOTHING = 0.5
 #: Fixed value: the answer for texts without a letter.
 UNDETERMINED = "und"
@@ -35,30 +36,46 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 
 
-def buckets_of(text: str) -> Iterator[np.ndarray]:
-    """For each order the bucket of each n-gram of code points, in lower case with white space as one kind of mark."""
-    points = np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+def buckets_of(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the buckets of the n-grams of all texts, one text after the other, and how many each text has.
+
+    N-grams are of code points, in lower case with white space as one kind of mark, and never cross texts.
+    """
+    plain = [" ".join(t.lower().split()) for t in texts]
+    sizes = np.array([len(t) for t in plain], dtype=np.int64)
+    points = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # code points from here to the text's end
     hashed = np.zeros(len(points), dtype=np.uint64)
     for n in ORDERS:
         if len(points) < n:
             return
         hashed = (hashed[: len(points) - n + 1] + points[n - 1 :] + np.uint64(n)) * _MULTIPLIERS[n - 1]
         hashed ^= hashed >> np.uint64(29)
-        yield (hashed * _MULTIPLIERS[0] >> _SHIFT).astype(np.int64)
+        whole = left[: len(hashed)] >= n
+        yield (hashed[whole] * _MULTIPLIERS[0] >> _SHIFT).astype(np.int32), np.maximum(sizes - (n - 1), 0)
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    blocks: tuple[np.ndarray, ...]  # each (languages of the block, BUCKETS) float32 log-probabilities, in the order of languages
+    blocks: tuple[np.ndarray, ...]  # each (BUCKETS, languages of the block) float32 log-probabilities, in the order of languages
     prior: np.ndarray
 
 
-def _add_scores(total: np.ndarray, weights: np.ndarray, text: str) -> None:
-    """Add the log-likelihoods of every n-gram of the whole text to the block's part of the scores."""
-    for b in buckets_of(text):
-        for k, column in enumerate(weights):
-            total[k] += column[b].sum(dtype=np.float64)
+def scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """(texts, languages of the block): the summed log-likelihoods of every n-gram of each whole text."""
+    total = np.zeros((len(texts), weights.shape[1]))
+    for buckets, sizes in buckets_of(texts):
+        ends = np.cumsum(sizes)
+        for a in range(0, len(buckets), GATHERED):
+            b = min(len(buckets), a + GATHERED)
+            # the texts with n-grams in a .. b, and where each one's begin there
+            first, last = np.searchsorted(ends, a, side="right"), np.searchsorted(ends, b - 1, side="right")
+            mine = np.arange(first, last + 1)
+            mine = mine[sizes[mine] > 0]
+            begin = np.maximum(ends[mine] - sizes[mine], a) - a
+            total[mine] += np.add.reduceat(weights[buckets[a:b]], begin, axis=0, dtype=np.float64)
+    return total
 
 
 def held_out(key: Column) -> Column:
@@ -71,8 +88,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     The sample is stratified and seeded: one count for each language sets its share, and rows are drawn where they
     lie, so no text moves to be chosen. Languages are counted in blocks of BLOCK_LANGUAGES, one scan each. The counts
-    return as one row of BUCKETS numbers for each language and task, merged on the driver: bounded by the sample, not
-    by the corpus. Every language is learned; the driver keeps 256 KB for each.
+    return as one row of BUCKETS numbers for each language and task, merged on the driver one task after the other:
+    bounded by the sample, not by the corpus. Every language is learned, from the whole texts of its sample; the
+    driver keeps 256 KB for each. Null texts teach nothing; an empty table gives a model without languages.
     """
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     labelled = labelled.where(F.col("lang").isNotNull() & ~held_out(F.col("key")))
@@ -88,18 +106,21 @@ def _fit_block(labelled: DataFrame, shares: dict[str, float]) -> tuple[tuple[str
     """Languages (those with a sampled text), log-probabilities and sampled documents of one block."""
     chosen = labelled.sampleBy("lang", shares, SEED).where("text is not null")
     # one task's matrix for each language is small, but many tasks have few sampled rows: gather them in a few tasks
-    chosen = chosen.select("lang", F.substring("text", 1, SAMPLE_CODE_POINTS).alias("text")).repartition(TRAINING_TASKS)
+    chosen = chosen.select("lang", "text").repartition(TRAINING_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for batch, texts in text_chunks(batches):
-            found: dict[str, list[np.ndarray]] = {}
+            found: dict[str, list[str]] = {}
             for language, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                found.setdefault(language, []).extend(buckets_of(t))
-                seen[language] = seen.get(language, 0) + 1
-            for language, b in found.items():
-                totals[language] = totals.get(language, 0) + np.bincount(np.concatenate([*b, np.zeros(0, np.int64)]), minlength=BUCKETS)
+                found.setdefault(language, []).append(t)
+            for language, mine in found.items():
+                seen[language] = seen.get(language, 0) + len(mine)
+                if language not in totals:
+                    totals[language] = np.zeros(BUCKETS, np.int64)
+                for b, _ in buckets_of(mine):
+                    totals[language] += np.bincount(b, minlength=BUCKETS)
         for language, total in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([language]), pa.array([seen[language]], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["lang", "docs", "counts"])
 
@@ -110,9 +131,10 @@ def _fit_block(labelled: DataFrame, shares: dict[str, float]) -> tuple[tuple[str
         documents[r.lang] = documents.get(r.lang, 0) + r.docs
     languages = tuple(sorted(gathered))
     if not languages:
-        return (), np.zeros((0, BUCKETS), np.float32), []
+        return (), np.zeros((BUCKETS, 0), np.float32), []
     counts = np.stack([gathered[x] for x in languages]) + SMOOTHING
-    return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), [documents[x] for x in languages]
+    weights = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    return languages, np.ascontiguousarray(weights.T), [documents[x] for x in languages]
 
 
 def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -120,7 +142,8 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
 
     Whole texts are scored; only the text is an input of a prediction. Null or empty texts, texts without a letter and
     a model without languages give ``und`` with score 0. Ties go to the alphabetically first language. Null or
-    repeated keys: each row is predicted by itself. Other columns are ignored, whatever their names.
+    repeated keys: each row is predicted by itself. Other columns are ignored, whatever their names. An empty table
+    gives an empty table; a text of any length is scored whole, GATHERED n-grams at a time.
     """
     shared = [docs.sparkSession.sparkContext.broadcast(w) for w in model.blocks]  # each at most BUCKETS x BLOCK_LANGUAGES floats
     languages, prior = model.languages, model.prior
@@ -134,25 +157,21 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
 
         letter = regex.compile(r"\p{L}")
         for batch, texts in text_chunks(batches):
-            totals = [prior.astype(np.float64) if languages and letter.search(t) else None for t in texts]
-            first = 0
-            for block in shared:
-                weights = block.value
-                for t, total in zip(texts, totals, strict=True):
-                    if total is not None:
-                        _add_scores(total[first : first + len(weights)], weights, t)
-                first += len(weights)
-                if len(shared) > 1 and getattr(block, "_path", None):
-                    vars(block).pop("_value", None)  # one block in memory at a time; the next use reads its file again
-            found = []
-            for s in totals:
-                if s is None:
-                    found.append((UNDETERMINED, 0.0))
-                    continue
-                p = np.exp(s - s.max())
-                p /= p.sum()
-                k = int(p.argmax())  # a tie goes to the first language in alphabetical order
-                found.append((languages[k], float(p[k])))
+            asked = [k for k, t in enumerate(texts) if languages and letter.search(t)]
+            mine = [texts[k] for k in asked]
+            found = [(UNDETERMINED, 0.0)] * len(texts)
+            if mine:
+                parts = []
+                for block in shared:
+                    parts.append(scores(mine, block.value))
+                    if len(shared) > 1 and getattr(block, "_path", None):
+                        vars(block).pop("_value", None)  # one block in memory at a time; the next use reads its file again
+                total = np.concatenate(parts, axis=1) + prior
+                p = np.exp(total - total.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                best = p.argmax(axis=1)  # a tie goes to the first language in alphabetical order
+                for k, name, value in zip(asked, best.tolist(), p[np.arange(len(mine)), best].tolist(), strict=True):
+                    found[k] = (languages[name], value)
             kept = [batch.column(batch.schema.get_field_index(c)) for c in carried]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*carried, "lang_pred", "score"])
 

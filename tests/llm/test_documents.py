@@ -383,6 +383,42 @@ def test_languages_of_odd_rows(spark, odd_docs, no_docs):
     assert language.fit(odd_docs.withColumn("lang", odd_docs.lang.substr(9, 1))).languages == ("",)
 
 
+def test_scores_equal_brute_force_naive_bayes(spark):
+    """Every n-gram by itself, in plain numbers, against the batches."""
+    r = random.Random(8)
+    texts = [("".join(r.choice("abcdeé fgß日 ") for _ in range(r.randrange(1, 900))), r.choice("xyz")) for _ in range(60)]
+    texts += [("word " * 30_000, "x"), ("", "y"), (None, "y"), ("ß", "z"), ("a\n\tB", "x")]
+    df = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(texts)], "doc_id long, text string, lang string")
+    hidden = {k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 4 == 2}
+
+    def grams(text):
+        points, m = [ord(c) for c in " ".join(text.lower().split())], [int(x) for x in language._MULTIPLIERS]
+        for n in language.ORDERS:
+            for i in range(len(points) - n + 1):
+                h = 0
+                for j in range(n):
+                    h = (h + points[i + j] + j + 1) * m[j] % 2**64
+                    h ^= h >> 29
+                yield h * m[0] % 2**64 >> 48
+
+    seen, rows = defaultdict(Counter), Counter()
+    for k, (t, x) in enumerate(texts):
+        if k not in hidden and t is not None:
+            seen[x].update(grams(t))
+            rows[x] += 1
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language.predict(df, language.fit(df)).collect()}
+    for k, (t, _) in enumerate(texts):
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert got[k] == ("und", 0.0)
+            continue
+        mine = Counter(grams(t))
+        total = {x: math.log(rows[x] / sum(rows.values())) + sum(n * math.log((seen[x][b] + 0.5) / (sum(seen[x].values()) + 0.5 * language.BUCKETS)) for b, n in mine.items()) for x in "xyz"}
+        top = max(total.values())
+        p = {x: math.exp(v - top) for x, v in total.items()}
+        best = max(sorted(p), key=p.get)
+        assert got[k][0] == best and got[k][1] == pytest.approx(p[best] / sum(p.values()), rel=1e-3), k
+
+
 def test_prediction_ignores_labels(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.fit(df)
@@ -397,7 +433,7 @@ def test_every_language_is_learned_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     df = df.selectExpr("IF(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2, NULL, doc_id) AS doc_id", "text", "lang")
     model = language.fit(df)
-    assert model.languages == tuple(names) and [len(w) for w in model.blocks] == [256, 44]
+    assert model.languages == tuple(names) and [w.shape[1] for w in model.blocks] == [256, 44]
     got = language.predict(df, model, keep=("lang",)).collect()
     assert all(r.lang == r.lang_pred for r in got)
     monkeypatch.setattr(language, "BLOCK_LANGUAGES", 1000)
