@@ -20,6 +20,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "markov")
+LABELS = ("random", "ordinary", "word")
 
 #: Characters of a token; a model knows these and the start of a token.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -27,11 +28,11 @@ TOKEN = r"[A-Za-z0-9+/_=-]"
 MIN_TOKEN = 12
 #: A token is reported if its log-likelihood ratio exceeds this, in total and for each character.
 MIN_RATIO, MIN_RATIO_EACH = 20.0, 1.0
-SMOOTHING = 0.5
+#: Share of each character's transitions that is spread evenly over the alphabet: alike for samples of any size.
+EVEN = 0.005
 #: Bounds of the labelled sample: generated random strings, and documents whose words are ordinary.
 RANDOM_STRINGS = 4000
-ORDINARY_DOCUMENTS = 500
-ORDINARY_CODE_POINTS = 10_000
+ORDINARY_DOCUMENTS = 2000
 SEED = 5
 #: Tokens of fewer different characters are rulers and fillers, not secrets.
 MIN_DISTINCT = 8
@@ -56,62 +57,99 @@ class MarkovModel:
 
 
 def train(samples: DataFrame) -> MarkovModel:
-    """From samples(token, random boolean): transition counts of both classes, at most 2 * size^2 rows."""
+    """From samples(token, label): transition counts of random tokens, ordinary tokens and words; at most 6 * size^2 rows.
+
+    A word stands for the ways in which names are made of words. A model of neighbouring characters sees nothing of a
+    joined name but the transitions inside its words and those from a last letter to a mark and from a mark to a first
+    letter, so these follow from the words' counts, and no name has to be written.
+    """
     t = F.col("token")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(t)), lambda k: F.struct(F.when(k == 1, F.lit("")).otherwise(F.substr(t, k - 1, F.lit(1))).alias("a"), F.substr(t, k, F.lit(1)).alias("b")))
-    counts = samples.where(F.length(t) > 0).select("random", F.inline(pairs)).groupBy("random", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    size = F.length(t)
+    here = lambda k: F.substr(t, k, F.lit(1))
+    pair = lambda k: F.struct(F.when(k == 1, F.lit("")).otherwise(here(k - 1)).alias("a"), F.when(k > size, F.lit("")).otherwise(here(k)).alias("b"), (k == 2).alias("head"))
+    pairs = F.transform(F.sequence(F.lit(1), size + 1), pair)  # an empty character before the first and after the last
+    counts = samples.where(size > 0).select("label", F.inline(pairs)).groupBy("label", "head", "a", "b").agg(F.count(F.lit(1)).alias("n"))
     known = F.array(*(F.lit(c) for c in ["", *ALPHABET]))
-    rows = counts.where(F.array_contains(known, F.col("a")) & F.array_contains(known, F.col("b")) & (F.col("b") != "")).collect()
-    size = len(ALPHABET) + 1
+    rows = counts.where(F.array_contains(known, F.col("a")) & F.array_contains(known, F.col("b"))).collect()
     number = {c: k + 1 for k, c in enumerate(ALPHABET)} | {"": 0}
-    seen = {kind: [[SMOOTHING] * size for _ in range(size)] for kind in (True, False)}
+    n = len(ALPHABET) + 1
+    seen = {(label, head): [[0.0] * n for _ in range(n)] for label in LABELS for head in (True, False)}
     for r in rows:
-        seen[r.random][number[r.a]][number[r.b]] += r.n
-    log = {kind: [[math.log(x / sum(row)) for x in row] for row in table] for kind, table in seen.items()}
-    return MarkovModel(tuple(log[True][a][b] - log[False][a][b] for a in range(size) for b in range(size)))
+        seen[r.label, r.head][number[r.a]][number[r.b]] += r.n
+    both = lambda label: [[x + y for x, y in zip(p, q, strict=True)] for p, q in zip(seen[label, True], seen[label, False], strict=True)]
+    ordinary = both("ordinary")
+    _add_names(ordinary, seen["word", True], both("word"))
+    log = [[[math.log((1 - EVEN) * x / max(1.0, sum(row[1:])) + EVEN / (n - 1)) for x in row] for row in table] for table in (both("random"), ordinary)]
+    return MarkovModel(tuple(log[0][a][b] - log[1][a][b] for a in range(n) for b in range(n)))
+
+
+def _add_names(table: list[list[float]], heads: list[list[float]], words: list[list[float]]) -> None:
+    """Add the transitions of names made of the counted words: alone, in capitals, in threes joined by a mark, written
+    together with capital initials (about five words), and followed by a number below 100."""
+    code = {c: k + 1 for k, c in enumerate(ALPHABET)}
+    cased = lambda change: [code.get(change(c), 0) for c in ["", *ALPHABET]]
+    same, upper, lower = cased(str), cased(str.upper), cased(str.lower)
+    first, last = words[0][1:], [row[0] for row in words]  # by letter: how many words begin and end with it
+    total = sum(first)
+    if not total:
+        return
+    letters = range(1, len(ALPHABET) + 1)
+    for case in (same, upper):
+        for marks, share in (("", 1.0), *((mark, 1 / 3) for mark in "_/-")):
+            for a in letters:
+                table[0][case[a]] += share * first[a - 1]
+                for b in letters:
+                    table[case[a]][case[b]] += words[a][b]
+                for mark in marks:
+                    table[case[a]][code[mark]] += 2 / 3 * last[a]
+                    table[code[mark]][case[a]] += 2 / 3 * first[a - 1]
+    for a in letters:
+        table[0][upper[a]] += first[a - 1] / 5
+        table[0][a] += first[a - 1]
+        for b in letters:
+            table[upper[a]][lower[b]] += heads[a][b]
+            table[lower[a]][lower[b]] += words[a][b] - heads[a][b]
+            table[lower[a]][upper[b]] += 4 / 5 * last[a] * first[b - 1] / total
+            table[a][b] += words[a][b]
+        for d in "0123456789":
+            table[a][code[d]] += last[a] / 10
+    for d in "0123456789":
+        for e in "0123456789":
+            table[code[d]][code[e]] += 0.9 * total / 100
 
 
 def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(token, random): a bounded labelled sample.
+    """(token, label): a bounded labelled sample.
 
-    Random: digests of numbers written in hexadecimal of both cases, base64, letters and digits, and capitals.
-    Ordinary: words of about ORDINARY_DOCUMENTS documents (a seeded sample, drawn where rows lie), as they are, in capitals,
-    joined as identifiers, paths and dashed names, and numbered; decimal numbers and dates; runs of one character.
-    Words with digits stay out, so secrets inside texts do not count as ordinary.
+    random: digests of numbers written in hexadecimal of both cases, base64, letters and digits, and capitals.
+    word: the words of about ORDINARY_DOCUMENTS whole documents (a seeded sample, drawn where rows lie).
+    ordinary: decimal numbers and dates; runs of one character.
+    Words with digits stay out, so secrets inside texts do not count as ordinary. Null texts have no words, and an
+    empty table leaves the generated samples.
     """
     spark = docs.sparkSession
     sha = F.sha2(F.col("id").cast("string"), 256)
     b64 = F.base64(F.unhex(sha))
     forms = F.array(F.substr(sha, F.lit(1), F.lit(40)), F.upper(F.substr(sha, F.lit(1), F.lit(32))), b64, F.regexp_replace(b64, "[+/=]", ""), F.concat(F.lit("A"), F.upper(F.substr(F.regexp_replace(b64, "[^A-Za-z0-9]", ""), F.lit(1), F.lit(19)))))
-    random = spark.range(RANDOM_STRINGS).select(F.explode(forms).alias("token"), F.lit(True).alias("random"))
+    random = spark.range(RANDOM_STRINGS).select(F.explode(forms).alias("token"), F.lit("random").alias("label"))
     share = min(1.0, ORDINARY_DOCUMENTS / max(1, docs.count()))
-    few = docs.select(F.substring(F.col(text), 1, ORDINARY_CODE_POINTS).alias("t")).sample(False, share, SEED).where("t is not null")
-    words = F.regexp_extract_all("t", F.lit(r"[A-Za-z]{2,}"), F.lit(0))
-    def chain(mark: str) -> Column:
-        return F.regexp_extract_all(F.array_join(words, mark), F.lit(rf"[A-Za-z]+{mark}[A-Za-z]+{mark}[A-Za-z]+"), F.lit(0))
-
-    joined = F.concat(chain("_"), chain("/"), chain("-"))
-    camel = F.regexp_extract_all(F.regexp_replace(F.initcap(F.array_join(words, " ")), " ", ""), F.lit(r"[A-Za-z]{20,40}"), F.lit(0))
-    numbered = F.transform(words, lambda w, i: F.concat(w, (i % 100).cast("string")))
-    ordinary = few.select(F.explode(F.concat(words, F.transform(words, F.upper), joined, F.transform(joined, F.upper), camel, numbered)).alias("token"), F.lit(False).alias("random"))
+    few = docs.select(F.col(text).alias("t")).sample(False, share, SEED).where("t is not null")
+    words = few.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z]{2,}"), F.lit(0))).alias("token"), F.lit("word").alias("label"))
     digits = lambda salt, top: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(top)).cast("string")
     date = F.concat_ws("-", 1900 + F.col("id") % 200, F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0"))
     run = F.repeat(F.substr(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1)), F.lit(24))
-    numbers = spark.range(RANDOM_STRINGS).select(F.explode(F.array(F.concat(digits(0, 10**9), digits(1, 10**9)), date, run)).alias("token"), F.lit(False).alias("random"))
-    return random.unionByName(ordinary).unionByName(numbers)
+    numbers = spark.range(RANDOM_STRINGS).select(F.explode(F.array(F.concat(digits(0, 10**9), digits(1, 10**9)), date, run)).alias("token"), F.lit("ordinary").alias("label"))
+    return random.unionByName(words).unionByName(numbers)
 
 
-def _found(text: Column, pattern: str, kind: int, value_group: int | None = None) -> Column:
+def _found(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
     """All leftmost non-overlapping matches as array<struct<start, kind, end, value>> in code points.
 
-    Each match is taken together with the gap before it, anchored where the last one ended; running sums of the
-    lengths give positions.
+    Splitting at the matches gives the gaps before them; running sums of the lengths of gaps and matches give positions.
     """
-    flags, body = ("(?is)", pattern.removeprefix("(?i)")) if pattern.startswith("(?i)") else ("(?s)", pattern)
-    whole = F.lit(rf"{flags}\G(.*?)({body})")
-    gaps, hits = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
-    values = F.regexp_extract_all(text, whole, F.lit(value_group + 2)) if value_group else hits
-    each = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value"))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else hits
+    each = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), values.alias("value"))  # one more gap than matches
     span = "struct<start:int,kind:int,end:int,value:string>"
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
 
@@ -121,7 +159,8 @@ def _found(text: Column, pattern: str, kind: int, value_group: int | None = None
         one = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), e["value"].alias("value")).cast(span)
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
-    return F.when(text.rlike(pattern), F.aggregate(each, start, extend, lambda acc: acc["spans"])).otherwise(F.array().cast(f"array<{span}>"))
+    found = F.aggregate(F.filter(each, lambda e: e["hit"].isNotNull()), start, extend, lambda acc: acc["spans"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{span}>"))
 
 
 def _uncovered(token: Column, base: Column) -> Column:
@@ -176,7 +215,8 @@ def scan(docs: DataFrame, model: MarkovModel, key: str = "doc_id", text: str = "
     """key, n_assign, n_access, n_hex, base_sha256, spans, n_markov for each row of docs; whole texts.
 
     Null text counts as empty: no spans, and the digest of the empty string. Null or repeated keys: each row by
-    itself. Other columns are ignored, whatever their names. An empty table gives an empty table.
+    itself. Other columns are ignored, whatever their names. An empty table gives an empty table. A text of any length
+    is scanned whole, in a fixed number of passes.
     """
     found = spans(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), model)
     n = lambda kind: F.size(F.filter("__all", lambda s: s["kind"] == kind)).cast("long")
