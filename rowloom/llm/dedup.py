@@ -11,9 +11,11 @@ joined to components.
 What keeps large groups cheap: a node's size is found by a counted aggregate and branching needs only the row itself,
 so no node is ever gathered while it is large. A large node is first cut into random chunks that share a few pivots;
 their confirmed links collapse groups of near copies, nodes inside one component are finished, and a node that is one
-large component plus a few others is finished by comparing the few with every chunk of the large one. Nodes that
-resist all this to the last level are compared block by block. A leaf reports links that span its components, not all
-its pairs.
+large component plus a few others is finished by comparing the few with every chunk of the large one. All this moves
+rows in proportion to the node's size. Nodes that resist it to the last level - many documents, far apart, that agree in
+every token of a path of LEVELS branches - are compared exactly, every block of half a leaf with every other, at the
+cost of 2 / leaf times the square of the node's size. A leaf reports links that span its components, not all its pairs,
+and compares full sets in blocks of bounded bytes.
 """
 
 from __future__ import annotations
@@ -27,17 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import sorted_groups, text_chunks
-from rowloom.session import hold_splits, materialise
+from rowloom.session import drop_table, materialise
 
 SHINGLE = 5
-#: Bytes of the signature that estimates similarity, and minwise tokens that paths choose from.
-ESTIMATE, PATH = 128, 32
+#: Bytes of the signature that estimates similarity, and minwise tokens that the paths of one tree choose from.
+ESTIMATE, TOKENS = 128, 8
 #: Standard deviations below the threshold at which an estimate still leads to a comparison of full sets.
 SLACK = 4.5
 #: Documents that a leaf compares exhaustively.
-LEAF = 1500
-#: Tokens selected at a node below the root; positions of the root are one for each tree.
-BRANCH = 2
+LEAF = 750
+#: Bytes of full sets that a leaf compares at once with as many others; a single set may have more.
+SET_BYTES = 8 << 20
 #: Pivots that chunks of a large node share, and levels after which nodes are compared block by block.
 PIVOTS, LEVELS = 16, 8
 #: Links that one task contracts (about 100 MB of Python objects).
@@ -48,7 +50,6 @@ BROADCAST_IDS = 2_000_000
 _random = np.random.Generator(np.random.PCG64(20240229))
 _LETTERS = _random.integers(1, 2**64, 256, dtype=np.uint64)
 _MULTIPLY = _random.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MINWISE = _random.integers(0, 2**63, ESTIMATE + PATH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BLOCK = 1 << 20
@@ -131,14 +132,19 @@ def set_keys(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(estimate bytes, path tokens) of non-empty sets."""
+def minwise(count: int) -> np.ndarray:
+    """The multipliers of `count` minwise functions; more of them begin with the same ones."""
+    return np.random.Generator(np.random.PCG64(20240301)).integers(0, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signatures(sets: list[np.ndarray], tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """(estimate bytes, `tokens` path tokens) of non-empty sets."""
     flat = np.concatenate(sets)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
     estimate = np.empty((len(sets), ESTIMATE), dtype=np.uint8)
-    path = np.empty((len(sets), PATH), dtype=np.int32)
+    path = np.empty((len(sets), tokens), dtype=np.int32)
     buffer = np.empty_like(flat)
-    for t, multiplier in enumerate(_MINWISE):
+    for t, multiplier in enumerate(minwise(ESTIMATE + tokens)):
         np.multiply(flat, multiplier, out=buffer)
         least = np.minimum.reduceat(buffer, at)
         if t < ESTIMATE:
@@ -148,14 +154,9 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return estimate, path
 
 
-def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows by number: with splits held, a scan numbers its rows alike each time it runs over the same files."""
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.col(text).alias("text"))
-
-
-def fingerprints(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(uid, key, n, k1, k2, estimate, path) for each row; n is the size of its set."""
-    kind = docs.schema[key].dataType.simpleString()
+def fingerprints(docs: DataFrame, size: int, tokens: int) -> DataFrame:
+    """(uid, key, n, k1, k2, estimate, path) for each row of docs(uid, key, text); n is the size of its set."""
+    kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
@@ -163,7 +164,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             estimates, paths, names = [None] * len(sets), [None] * len(sets), [(0, 0)] * len(sets)
             full = [k for k, s in enumerate(sets) if len(s)]
             if full:
-                e, p = signatures([sets[k] for k in full])
+                e, p = signatures([sets[k] for k in full], tokens)
                 for row, k in enumerate(full):
                     estimates[k], paths[k], names[k] = e[row].tobytes(), p[row], set_keys(sets[k])
             yield pa.RecordBatch.from_arrays(
@@ -171,7 +172,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 names=["uid", "key", "n", "k1", "k2", "estimate", "path"],
             )
 
-    return _numbered(docs, key, text).mapInArrow(run, f"uid long, key {kind}, n long, k1 long, k2 long, estimate binary, path array<int>")
+    return docs.select("uid", "key", "text").mapInArrow(run, f"uid long, key {kind}, n long, k1 long, k2 long, estimate binary, path array<int>")
 
 
 def _by_node(df: DataFrame) -> DataFrame:
@@ -182,7 +183,9 @@ def _by_node(df: DataFrame) -> DataFrame:
 def _near(table: pa.Table, floor: float, percent: int) -> np.ndarray:
     """Rows of a leaf that have a partner to compare on full sets here.
 
-    A pair is compared in the smallest of its common leaves only, and not at all if it is already in one component.
+    A pair that is already in one component is not compared. In a leaf of a tree (own: the row's leaves) a pair is
+    compared in the smallest of its common leaves only. In a part of a large node (side) rows of side 1 are compared
+    with all, rows of another side not among themselves: those meet elsewhere.
     """
     m = table.num_rows
     size, label = table["n"].to_numpy(), table["label"].to_numpy()
@@ -190,8 +193,9 @@ def _near(table: pa.Table, floor: float, percent: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     estimate = np.frombuffer(b"".join(table["estimate"].to_pylist()), dtype=np.uint8).reshape(m, ESTIMATE)
     node = table["node"][0].as_py()
+    in_tree = "own" in table.column_names
     own: list[set | None] = [None] * m
-    lists = table["own"]
+    lists, side = (table["own"], None) if in_tree else (None, table["side"].to_numpy())
     hit = np.zeros(m, dtype=bool)
 
     def leaves(k: int) -> set:
@@ -206,13 +210,35 @@ def _near(table: pa.Table, floor: float, percent: int) -> np.ndarray:
         equal = (estimate[a:b, None, :] == estimate[None, a:, :]).sum(axis=2, dtype=np.int32) >= math.floor(need * ESTIMATE)
         small, large = np.minimum(size[a:b, None], size[None, a:]), np.maximum(size[a:b, None], size[None, a:])
         equal &= (100 * small >= percent * large) & (label[a:b, None] != label[None, a:])
+        if not in_tree:
+            equal &= (side[a:b, None] != side[None, a:]) | (side[a:b, None] == 1)
         rows, cols = np.nonzero(equal)
+        if not in_tree:
+            hit[rows + a] = hit[cols + a] = True
+            continue
         for i, j in zip((rows + a).tolist(), (cols + a).tolist(), strict=True):
             if i < j and not (hit[i] and hit[j]) and min(leaves(i) & leaves(j)) == node:
                 hit[i] = hit[j] = True
     return np.flatnonzero(hit)
 
 
+def _by_bytes(rows: np.ndarray, size: np.ndarray, percent: int, most: int = SET_BYTES) -> list[np.ndarray]:
+    """Rows of a leaf as one part or, where their sets have more bytes, as pairs of blocks that hold every pair of near sizes."""
+    if 8 * size[rows].sum() <= most:
+        return [rows]
+    rows = rows[np.argsort(size[rows], kind="stable")]
+    upto = np.cumsum(8 * size[rows])
+    block = (upto - 8 * size[rows]) // most
+    blocks = np.split(rows, np.flatnonzero(np.diff(block)) + 1)
+    out = []
+    for a, small in enumerate(blocks):
+        for b in range(a, len(blocks)):
+            if 100 * size[small[-1]] < percent * size[blocks[b][0]]:
+                break
+            out.append(small if a == b else np.concatenate((small, blocks[b])))
+    return out
+
+
 def _find(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -261,8 +287,10 @@ def spanning_links(sets: list[np.ndarray], labels: list[int], percent: int) -> l
     return out
 
 
-def _contracted(edges: DataFrame, blocks: int) -> DataFrame:
-    """(u, v): inside each of `blocks` blocks of edges, every end u with the smallest end v of its component there."""
+def _contracted(edges: DataFrame, blocks: int, most: int) -> DataFrame:
+    """(u, v): inside each of `blocks` blocks of edges, every end u with the smallest end v of its component there.
+
+    A block that turns out to have over 2 * `most` ends hands on what it has and begins anew, so its memory is bounded."""
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
@@ -275,13 +303,19 @@ def _contracted(edges: DataFrame, blocks: int) -> DataFrame:
                 parent[x], x = top, parent[x]
             return top
 
+        def forest() -> pa.RecordBatch:
+            ends = [x for x in parent if root(x) != x]
+            return pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([parent[x] for x in ends], pa.int64())], names=["u", "v"])
+
         for batch in batches:
             for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = root(u), root(v)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        ends = [x for x in parent if root(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([parent[x] for x in ends], pa.int64())], names=["u", "v"])
+                if len(parent) > 2 * most:
+                    yield forest()
+                    parent.clear()
+        yield forest()
 
     return edges.coalesce(blocks).mapInArrow(contract, "u long, v long")
 
@@ -295,7 +329,7 @@ def connected(links: DataFrame, block: int = LINK_BLOCK) -> DataFrame:
     edges, state = links.select(F.col("a").alias("u"), F.col("b").alias("v")), None
     while True:
         blocks = max(1, math.ceil(edges.count() / block))
-        edges = materialise(_contracted(edges, blocks), "links")
+        edges = materialise(_contracted(edges, blocks, block), "links")
         if blocks == 1:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -315,28 +349,33 @@ def connected(links: DataFrame, block: int = LINK_BLOCK) -> DataFrame:
 
 
 class ChosenPath:
-    """One run of the join over the rows of docs."""
+    """One run of the join over docs(uid, key, text), a written table: rows keep their numbers whatever happens to executors."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, percent: int, size: int, recall: float, leaf: int):
+    def __init__(self, docs: DataFrame, percent: int, size: int, recall: float, leaf: int):
         if not 50 <= percent <= 100:
             raise ValueError("the threshold is a similarity of 50 to 100 percent")
-        hold_splits(docs.sparkSession)  # rows are numbered in more than one scan
-        self.docs, self.key, self.text, self.percent, self.size, self.leaf = docs, key, text, percent, size, leaf
+        self.docs, self.percent, self.size, self.leaf = docs, percent, size, leaf
         share = percent / 100
         self.floor = share - SLACK * math.sqrt(share * (1 - share) / ESTIMATE)
         # a pair meets at the root with chance `share`, and below it its line of descent dies out with chance `lost`
         lost = ((1 - share) / share) ** 2  # smaller root of s = (1 - share + share * s) ** 2
         meets = share * (1 - min(lost, 0.5))
-        self.trees = min(PATH, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))) if meets < 1 else 1
-        self.prints = materialise(fingerprints(docs, key, text, size), "fingerprints")
+        self.trees = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets))) if meets < 1 else 1
+        self.written: list[DataFrame] = []
+        self.prints = materialise(fingerprints(docs, size, self.trees * TOKENS), "fingerprints")
         full = self.prints.where("n > 0")
         self.classes = materialise(full.groupBy("k1", "k2", "n").agg(F.min("uid").alias("rep"), F.min(F.struct(F.col("key").isNull().alias("unknown"), "key", "uid")).alias("first")), "classes")
         self.links: list[DataFrame] = []
 
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A written table that goes when the run is over."""
+        self.written.append(materialise(df, name))
+        return self.written[-1]
+
     def _counted(self, rows: DataFrame, name: str) -> DataFrame:
-        """rows(node, uid) of nodes with company, and the node's size c."""
+        """rows(node, uid, tree) of nodes with company, and the node's size c."""
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        return materialise(rows.join(counts, "node"), name)
+        return self._keep(rows.join(counts, "node"), name)
 
     def _labelled(self, rows: DataFrame) -> DataFrame:
         label = self._labels()
@@ -356,23 +395,35 @@ class ChosenPath:
 
     _known: tuple = (0, None)
 
-    def _compare(self, leaves: DataFrame) -> None:
-        """Adds the confirmed links of leaves(node, uid)."""
-        percent, floor = self.percent, self.floor
+    def _compare_leaves(self, leaves: DataFrame) -> None:
+        """Adds the confirmed links of leaves(node, uid) of trees; a row has at most a few leaves in each tree."""
         leaves = leaves.distinct()
         own = leaves.groupBy("uid").agg(F.collect_set("node").alias("own"))
-        rows = self._labelled(leaves.join(own, "uid")).join(self.prints.select("uid", "n", "k1", "estimate"), "uid")
+        self._compare(leaves.join(own, "uid"), "own")
+
+    def _compare_parts(self, parts: DataFrame) -> None:
+        """Adds the confirmed links of parts(node, uid, side) of large nodes."""
+        self._compare(parts.groupBy("node", "uid").agg(F.min("side").alias("side")), "side")
+
+    def _compare(self, leaves: DataFrame, rule: str) -> None:
+        percent, floor = self.percent, self.floor
+        rows = self._labelled(leaves).join(self.prints.select("uid", "n", "k1", "estimate"), "uid")
 
         def filter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in sorted_groups(batches):
-                if t.num_rows > 1 and len(rows := _near(t, floor, percent)):
-                    yield t.select(["node", "uid", "label", "k1"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
-
-        ordered = _by_node(rows.select("node", "uid", "label", "n", "k1", "estimate", "own"))
-        near = materialise(ordered.mapInArrow(filter_rows, "node long, uid long, label long, k1 long"), "near")
+                if t.num_rows < 2 or not len(found := _near(t, floor, percent)):
+                    continue
+                parts = _by_bytes(found, t["n"].to_numpy(), percent)
+                names = mix(np.arange(len(parts), dtype=np.uint64) + t["node"].to_numpy()[:1].view(np.uint64)).view(np.int64)
+                for name, part in zip(names, parts, strict=True):
+                    took = t.select(["uid", "label", "k1"]).take(pa.array(part)).combine_chunks()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), *(c.chunk(0) for c in took.columns)], names=["node", "uid", "label", "k1"])
+
+        ordered = _by_node(rows.select("node", "uid", "label", "n", "k1", "estimate", rule))
+        near = self._keep(ordered.mapInArrow(filter_rows, "node long, uid long, label long, k1 long"), "near")
         wanted = near.select("uid").distinct()
         few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        texts = _numbered(self.docs, self.key, self.text).select("uid", "text").join(F.broadcast(wanted) if few else wanted, "uid", "left_semi")
+        texts = self.docs.select("uid", "text").join(F.broadcast(wanted) if few else wanted, "uid", "left_semi")
         size = self.size
 
         def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +437,7 @@ class ChosenPath:
                     continue
                 sets = [np.frombuffer(b, dtype=np.uint64) for b in t["members"].to_pylist()]
                 if any(set_keys(s)[0] != k for s, k in zip(sets, t["k1"].to_pylist(), strict=True)):
-                    raise RuntimeError("a second scan numbered the documents differently; materialise them first")
+                    raise RuntimeError("the written documents have changed")
                 uids = t["uid"].to_pylist()
                 pairs = spanning_links(sets, t["label"].to_pylist(), percent)
                 if pairs:
@@ -394,70 +445,74 @@ class ChosenPath:
 
         sets = texts.mapInArrow(to_sets, "uid long, members binary")
         found = _by_node(near.join(sets, "uid").select("node", "uid", "label", "k1", "members")).mapInArrow(confirm, "a long, b long")
-        self.links.append(materialise(found, "confirmed"))
+        self.links.append(self._keep(found, "confirmed"))
 
     def _roots(self) -> DataFrame:
         trees = F.sequence(F.lit(0), F.lit(self.trees - 1))
-        tokens = F.transform(trees, lambda t: F.xxhash64(t, F.get("path", t)))
+        roots = F.transform(trees, lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("path", t * TOKENS)).alias("node")))
         reps = self.prints.select("uid", "path").join(self.classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
-        return reps.select(F.explode(tokens).alias("node"), "uid")
+        return reps.select(F.inline(roots), "uid").select("node", "uid", "tree")
 
     def _children(self, rows: DataFrame) -> DataFrame:
-        first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PATH))
-        other = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(PATH - 1)), F.lit(PATH))
-        chosen = F.array(first, other)  # BRANCH positions
-        with_path = rows.select("node", "uid").join(self.prints.select("uid", "path"), "uid")
-        return with_path.select(F.explode(F.transform(chosen, lambda p: F.xxhash64("node", p, F.get("path", p.cast("int"))))).alias("node"), "uid")
-
-    def _large(self, big: DataFrame, level: int) -> DataFrame:
-        """Works on large nodes; returns leaves for the final comparison and leaves what has to branch on in self._rest."""
+        """Two children of each row, by two of its tree's own tokens, which a hash of the node chooses."""
+        others = TOKENS - 1  # the first one is the root's
+        first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(others))
+        second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(others - 1)), F.lit(others))
+        token = lambda p: F.get("path", (F.col("tree") * TOKENS + 1 + p).cast("int"))
+        with_path = rows.select("node", "uid", "tree").join(self.prints.select("uid", "path"), "uid")
+        return with_path.select(F.explode(F.transform(F.array(first, second), lambda p: F.xxhash64("node", p, token(p)))).alias("node"), "uid", "tree")
+
+    def _large(self, big: DataFrame, level: int) -> None:
+        """Works on large nodes; what has to branch on is left in self._rest."""
         leaf = self.leaf
+        guest = lambda part: F.when(F.col(part) == 0, F.lit(1)).otherwise(F.lit(2)).alias("side")
         chunks = F.ceil(F.col("c") / F.lit(leaf)).cast("long")
         chunk = F.pmod(F.xxhash64("uid", "node"), chunks)
-        members = big.select(F.xxhash64("node", F.lit("chunk"), chunk).alias("node"), "uid")
+        members = big.select(F.xxhash64("node", F.lit("chunk"), chunk).alias("node"), "uid", F.lit(1).alias("side"))
         pivots = big.where(F.pmod(F.xxhash64("uid", "node", F.lit("pivot")), F.col("c")) < PIVOTS)
         pivots = pivots.select("node", "uid", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
-        self._compare(members.unionByName(pivots.select(F.xxhash64("node", F.lit("chunk"), "chunk").alias("node"), "uid")))
+        self._compare_parts(members.unionByName(pivots.select(F.xxhash64("node", F.lit("chunk"), "chunk").alias("node"), "uid", guest("chunk"))))
         rows = self._labelled(big)
         kinds = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"))
         info = kinds.groupBy("node").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        rows = materialise(rows.join(info.select("node", F.col("top.k").alias("major"), F.col("top.label").alias("major_label")), "node"), "mixed")
+        rows = self._keep(rows.join(info.select("node", F.col("top.k").alias("major"), F.col("top.label").alias("major_label")), "node"), "mixed")
         # one large component and few others: each chunk of the large one meets all others
         parts = F.ceil(F.col("major") / F.lit(leaf)).cast("long")
         ends = rows.where(F.col("c") - F.col("major") <= leaf)
-        most = ends.where("label = major_label").select("node", "uid", F.pmod(F.xxhash64("uid"), parts).alias("part"))
+        most = ends.where("label = major_label").select("node", "uid", F.pmod(F.xxhash64("uid"), parts).alias("part"), F.lit(1).alias("side"))
         others = ends.where("label != major_label").select("node", "uid", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
-        done = most.unionByName(others).select(F.xxhash64("node", F.lit("part"), "part").alias("node"), "uid")
-        self._rest = rows.where(F.col("c") - F.col("major") > leaf).select("node", "uid", "c")
+        done = most.unionByName(others.select("node", "uid", "part", guest("part"))).select(F.xxhash64("node", F.lit("part"), "part").alias("node"), "uid", "side")
+        self._rest = rows.where(F.col("c") - F.col("major") > leaf).select("node", "uid", "tree", "c")
         if level >= LEVELS:  # blocks of half a leaf, every block with every other
             blocks = F.ceil(F.col("c") * 2 / F.lit(leaf)).cast("long")
             mine = F.pmod(F.xxhash64("uid"), blocks)
             pairs = self._rest.select("node", "uid", mine.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("b"))
-            done = done.unionByName(pairs.select(F.xxhash64("node", F.lit("block"), F.least("a", "b"), F.greatest("a", "b")).alias("node"), "uid"))
+            side = F.when(F.col("a") == F.col("b"), 1).when(F.col("a") < F.col("b"), 2).otherwise(3)
+            done = done.unionByName(pairs.select(F.xxhash64("node", F.lit("block"), F.least("a", "b"), F.greatest("a", "b")).alias("node"), "uid", side.alias("side")))
             self._rest = self._rest.where("false")
-        return done
+        self._compare_parts(done)
 
     def run(self) -> DataFrame:
-        """(uid, key, n, first): first is the struct of the component's smallest key and its row."""
-        rows, level, leaves = self._counted(self._roots(), "level0"), 0, []
+        """(uid, key, n, component): component is the struct of the component's smallest key and its row."""
+        rows, level, leaves = self._counted(self._roots(), "level0"), 0, None
         while True:
-            leaves.append(rows.where(F.col("c") <= self.leaf).select("node", "uid"))
+            mine = rows.where(F.col("c") <= self.leaf).select("node", "uid")
+            leaves = mine if leaves is None else leaves.unionByName(mine)
             big = rows.where(F.col("c") > self.leaf)
             if big.isEmpty():
                 break
-            leaves.append(self._large(big, level))
+            self._large(big, level)
             level += 1
             rows = self._counted(self._children(self._rest), f"level{level}")
-        everything = leaves[0]
-        for more in leaves[1:]:
-            everything = everything.unionByName(more)
-        self._compare(everything)
+        self._compare_leaves(leaves)
         labelled = self._labelled(self.classes.withColumnRenamed("rep", "uid"))
         firsts = labelled.groupBy("label").agg(F.min("first").alias("component"))
         classes = labelled.join(firsts, "label").select("k1", "k2", F.col("n").alias("size"), "component")
         rows = self.prints.select("uid", "key", "n", "k1", "k2")
         joined = rows.where("n > 0").join(classes.withColumnRenamed("size", "n"), ["k1", "k2", "n"]).select("uid", "key", "n", "component")
         alone = rows.where("n = 0").select("uid", "key", "n", F.struct(F.col("key").isNull().alias("unknown"), "key", "uid").alias("component"))
+        for table in self.written:  # the result reads fingerprints, classes and labels
+            drop_table(table)
         return joined.unionByName(alone)
 
 
@@ -469,19 +524,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     Null or empty texts, and texts of white space, have an empty set and are linked with nothing. Null keys: such rows
     are linked like others, but a component takes its id from rows that have one; kept is false for them. Repeated
     keys: rows are told apart by place. Other columns are ignored, whatever their names. An empty table gives an empty
-    table. recall is the least chance, for a pair at the threshold, that some tree compares it; closer pairs have a
-    higher one.
+    table. A text of any length is read whole; its set is in one task's memory beside SET_BYTES of others.
+    recall is the least chance, for a pair at the threshold, that some tree compares it; closer pairs have a higher one.
     """
-    found = ChosenPath(docs, key, text, percent, size, recall, leaf).run()
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.col(text).alias("text")), "numbered")
+    found = ChosenPath(numbered, percent, size, recall, leaf).run()
+    drop_table(numbered)
     same = F.coalesce(F.col("key") == F.col("component.key"), F.lit(False))
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("component.key").alias("component_id"), same.alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """One row of docs for each component, the one with the smallest key (nulls last, then the first row), as it was."""
-    found = ChosenPath(docs, key, text, percent, SHINGLE, 0.99999, LEAF).run()
-    chosen = found.where(F.col("uid") == F.col("component.uid")).select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(chosen, "__uid", "left_semi").drop("__uid")
+    """One row of docs for each component, the one with the smallest key (nulls last, then the first row), as it was.
+
+    Rows whose text is null, empty or white space are linked with nothing and stay. Columns of any name are kept. An
+    empty table gives an empty table.
+    """
+    name = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), *(F.col(f"`{c}`").alias(n) for c, n in name.items())), "numbered")
+    found = ChosenPath(numbered.select("uid", F.col(name[key]).alias("key"), F.col(name[text]).alias("text")), percent, SHINGLE, 0.99999, LEAF).run()
+    chosen = found.where(F.col("uid") == F.col("component.uid")).select("uid")
+    return numbered.join(chosen, "uid", "left_semi").select(*(F.col(n).alias(c) for c, n in name.items()))
 
 
 #: DuckDB's version of near_duplicates(percent=85): all pairs that share a shingle, exact.

@@ -71,6 +71,64 @@ def test_components_equal_brute_force(spark, families, percent, leaf):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {k: (sizes[k], roots[k], roots[k] == k) for k in range(len(families))}
 
 
+def test_deep_trees_keep_their_recall(spark, monkeypatch):
+    """Pairs near the threshold in leaves several branches deep; no chunk compares them, as each pair is in two large families."""
+    depths = []
+    counted = dedup.ChosenPath._counted
+    monkeypatch.setattr(dedup.ChosenPath, "_counted", lambda self, rows, name: depths.append(name) or counted(self, rows, name))
+    monkeypatch.setattr(dedup, "PIVOTS", 1)
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts, shared = [], [word() for _ in range(260)]
+    for _ in range(60):  # all share runs enough to meet in many nodes; partners share more
+        base = [word() for _ in range(240)]
+        changed = list(base)
+        changed[100:104] = [word() for _ in range(4)]
+        changed += [word() for _ in range(30)]
+        texts += [" ".join(shared + base), " ".join(shared + changed)]
+    sizes, roots = brute_components(texts, 85)
+    assert sum(k != x for k, x in enumerate(roots)) >= 55
+    rows = dedup.near_duplicates(docs(spark, texts), percent=85, leaf=10).collect()
+    assert {x.doc_id: x.component_id for x in rows} == dict(enumerate(roots)) and "level2" in depths
+
+
+def test_rows_moved_grow_with_the_size_of_a_component(spark, monkeypatch):
+    """A component of over 100 leaves: chunks, pivots and parts make rows in proportion to it."""
+    moved = []
+    compare = dedup.ChosenPath._compare
+
+    def counting(self, leaves, rule):
+        moved[-1] += leaves.count()
+        compare(self, leaves, rule)
+
+    monkeypatch.setattr(dedup.ChosenPath, "_compare", counting)
+    r = random.Random(7)
+    base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    for n in (250, 500):
+        texts = [" ".join(base[:190] + [f"w{k}"] + base[191:]) for k in range(n)]
+        moved.append(0)
+        rows = dedup.near_duplicates(docs(spark, texts), percent=85, leaf=2).collect()
+        assert {x.component_id for x in rows} == {0}
+    assert moved[1] < 2.6 * moved[0]
+
+
+def test_sets_are_compared_in_blocks_of_bytes(spark):
+    size = np.array([10, 500, 480, 520, 9, 1000, 700, 690])
+    parts = dedup._by_bytes(np.arange(8), size, 80, most=4000)
+    held = {(min(a, b), max(a, b)) for p in parts for a in p.tolist() for b in p.tolist()}
+    assert len(parts) > 1 and all((i, j) in held for i in range(8) for j in range(i, 8) if 100 * min(size[i], size[j]) >= 80 * max(size[i], size[j]))
+    assert [p.tolist() for p in dedup._by_bytes(np.array([1, 4]), size, 80)] == [[1, 4]]
+
+
+def test_long_texts_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(dedup._by_bytes, "__defaults__", (100_000,))
+    r = random.Random(3)
+    words = [str(r.randrange(10**6)) for _ in range(300_000)]
+    texts = [" ".join(words), " ".join(words[:-4000]), " ".join(words[20_000:]), " ".join(words[:150_000]), "short text of six words only"]
+    rows = dedup.near_duplicates(docs(spark, texts), percent=85).collect()
+    assert {x.doc_id: x.component_id for x in rows} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+
+
 def test_links_over_many_blocks(spark):
     r = random.Random(1)
     pairs = [(r.randrange(400), r.randrange(400)) for _ in range(330)]
@@ -100,6 +158,8 @@ def test_dedup_of_odd_rows(odd_docs, no_docs):
     assert got[None] == [(8, None, False)] and got[6] == [(5, 6, True)]
     assert dedup.near_duplicates(no_docs).count() == 0
     kept = dedup.keep_one(odd_docs)
+    clash = dedup.keep_one(odd_docs.withColumnsRenamed({"e": "__uid", "row": "c0"}).withColumn("uid", odd_docs.doc_id))
+    assert clash.columns[-4:] and {"__uid", "uid", "c0"} <= set(clash.columns) and clash.count() == 9
     assert kept.columns == odd_docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 9]
 
 
