@@ -46,26 +46,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/rowloom/{name}-{uuid.uuid4().hex}"
 
 
-def hold_splits(spark: SparkSession) -> None:
-    """From now on file scans of the session are split alike, even if executors come and go.
-
-    Spark derives the size of a split from the number of cores that it sees; rows numbered in one scan would have
-    other numbers in the next. A number of partitions that the session sets itself stays; else it is that of shuffles
-    or of the cores now registered, whichever is larger, as few executors may have come yet.
-    """
-    key = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back.
 
-    Unlike an executor-local copy the files outlive any executor, and the reread plan starts from a scan.
+    Unlike an executor-local copy the files outlive any executor, and the reread plan starts from a scan. compression
+    replaces the session's codec, for instance zstd for a table of whole texts.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_path = path
     return table
