@@ -37,7 +37,7 @@ ESTIMATE, TOKENS = 128, 8
 #: Standard deviations below the threshold at which an estimate still leads to a comparison of full sets.
 SLACK = 4.5
 #: Documents that a leaf compares exhaustively.
-LEAF = 750
+LEAF = 1500
 #: Bytes of full sets that a leaf compares at once with as many others; a single set may have more.
 SET_BYTES = 8 << 20
 #: Pivots that chunks of a large node share, and levels after which nodes are compared block by block.
@@ -183,8 +183,8 @@ def _by_node(df: DataFrame) -> DataFrame:
 def _near(table: pa.Table, floor: float, percent: int) -> np.ndarray:
     """Rows of a leaf that have a partner to compare on full sets here.
 
-    A pair that is already in one component is not compared. In a leaf of a tree (own: the row's leaves) a pair is
-    compared in the smallest of its common leaves only. In a part of a large node (side) rows of side 1 are compared
+    A pair that is already in one component is not compared. In a leaf of a tree (side 0; own: the row's leaves) a
+    pair is compared in the smallest of its common leaves only. In a part of a large node rows of side 1 are compared
     with all, rows of another side not among themselves: those meet elsewhere.
     """
     m = table.num_rows
@@ -193,9 +193,9 @@ def _near(table: pa.Table, floor: float, percent: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     estimate = np.frombuffer(b"".join(table["estimate"].to_pylist()), dtype=np.uint8).reshape(m, ESTIMATE)
     node = table["node"][0].as_py()
-    in_tree = "own" in table.column_names
     own: list[set | None] = [None] * m
-    lists, side = (table["own"], None) if in_tree else (None, table["side"].to_numpy())
+    lists, side = table["own"], table["side"].to_numpy()
+    in_tree = side[0] == 0
     hit = np.zeros(m, dtype=bool)
 
     def leaves(k: int) -> set:
@@ -395,17 +395,18 @@ class ChosenPath:
 
     _known: tuple = (0, None)
 
-    def _compare_leaves(self, leaves: DataFrame) -> None:
-        """Adds the confirmed links of leaves(node, uid) of trees; a row has at most a few leaves in each tree."""
+    def _with_own(self, leaves: DataFrame) -> DataFrame:
+        """leaves(node, uid) of trees with side 0 and each row's list of leaves, which are at most a few in each tree."""
         leaves = leaves.distinct()
         own = leaves.groupBy("uid").agg(F.collect_set("node").alias("own"))
-        self._compare(leaves.join(own, "uid"), "own")
+        return leaves.join(own, "uid").select("node", "uid", F.lit(0).alias("side"), "own")
 
-    def _compare_parts(self, parts: DataFrame) -> None:
-        """Adds the confirmed links of parts(node, uid, side) of large nodes."""
-        self._compare(parts.groupBy("node", "uid").agg(F.min("side").alias("side")), "side")
+    def _parts(self, parts: DataFrame) -> DataFrame:
+        """parts(node, uid, side) of large nodes, each row once."""
+        return parts.groupBy("node", "uid").agg(F.min("side").alias("side")).withColumn("own", F.lit(None).cast("array<bigint>"))
 
-    def _compare(self, leaves: DataFrame, rule: str) -> None:
+    def _compare(self, leaves: DataFrame) -> None:
+        """Adds the confirmed links of leaves(node, uid, side, own)."""
         percent, floor = self.percent, self.floor
         rows = self._labelled(leaves).join(self.prints.select("uid", "n", "k1", "estimate"), "uid")
 
@@ -419,8 +420,8 @@ class ChosenPath:
                     took = t.select(["uid", "label", "k1"]).take(pa.array(part)).combine_chunks()
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), *(c.chunk(0) for c in took.columns)], names=["node", "uid", "label", "k1"])
 
-        ordered = _by_node(rows.select("node", "uid", "label", "n", "k1", "estimate", rule))
-        near = self._keep(ordered.mapInArrow(filter_rows, "node long, uid long, label long, k1 long"), "near")
+        ordered = _by_node(rows.select("node", "uid", "label", "n", "k1", "estimate", "side", "own"))
+        near = materialise(ordered.mapInArrow(filter_rows, "node long, uid long, label long, k1 long"), "near")
         wanted = near.select("uid").distinct()
         few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         texts = self.docs.select("uid", "text").join(F.broadcast(wanted) if few else wanted, "uid", "left_semi")
@@ -446,6 +447,7 @@ class ChosenPath:
         sets = texts.mapInArrow(to_sets, "uid long, members binary")
         found = _by_node(near.join(sets, "uid").select("node", "uid", "label", "k1", "members")).mapInArrow(confirm, "a long, b long")
         self.links.append(self._keep(found, "confirmed"))
+        drop_table(near)
 
     def _roots(self) -> DataFrame:
         trees = F.sequence(F.lit(0), F.lit(self.trees - 1))
@@ -462,8 +464,8 @@ class ChosenPath:
         with_path = rows.select("node", "uid", "tree").join(self.prints.select("uid", "path"), "uid")
         return with_path.select(F.explode(F.transform(F.array(first, second), lambda p: F.xxhash64("node", p, token(p)))).alias("node"), "uid", "tree")
 
-    def _large(self, big: DataFrame, level: int) -> None:
-        """Works on large nodes; what has to branch on is left in self._rest."""
+    def _large(self, big: DataFrame, level: int) -> DataFrame:
+        """Works on large nodes; returns parts for the final comparison and leaves what has to branch on in self._rest."""
         leaf = self.leaf
         guest = lambda part: F.when(F.col(part) == 0, F.lit(1)).otherwise(F.lit(2)).alias("side")
         chunks = F.ceil(F.col("c") / F.lit(leaf)).cast("long")
@@ -471,7 +473,7 @@ class ChosenPath:
         members = big.select(F.xxhash64("node", F.lit("chunk"), chunk).alias("node"), "uid", F.lit(1).alias("side"))
         pivots = big.where(F.pmod(F.xxhash64("uid", "node", F.lit("pivot")), F.col("c")) < PIVOTS)
         pivots = pivots.select("node", "uid", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
-        self._compare_parts(members.unionByName(pivots.select(F.xxhash64("node", F.lit("chunk"), "chunk").alias("node"), "uid", guest("chunk"))))
+        self._compare(self._parts(members.unionByName(pivots.select(F.xxhash64("node", F.lit("chunk"), "chunk").alias("node"), "uid", guest("chunk")))))
         rows = self._labelled(big)
         kinds = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("k"))
         info = kinds.groupBy("node").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
@@ -490,21 +492,23 @@ class ChosenPath:
             side = F.when(F.col("a") == F.col("b"), 1).when(F.col("a") < F.col("b"), 2).otherwise(3)
             done = done.unionByName(pairs.select(F.xxhash64("node", F.lit("block"), F.least("a", "b"), F.greatest("a", "b")).alias("node"), "uid", side.alias("side")))
             self._rest = self._rest.where("false")
-        self._compare_parts(done)
+        return done
 
     def run(self) -> DataFrame:
         """(uid, key, n, component): component is the struct of the component's smallest key and its row."""
-        rows, level, leaves = self._counted(self._roots(), "level0"), 0, None
+        rows, level, leaves, parts = self._counted(self._roots(), "level0"), 0, None, None
         while True:
             mine = rows.where(F.col("c") <= self.leaf).select("node", "uid")
             leaves = mine if leaves is None else leaves.unionByName(mine)
             big = rows.where(F.col("c") > self.leaf)
             if big.isEmpty():
                 break
-            self._large(big, level)
+            done = self._large(big, level)
+            parts = done if parts is None else parts.unionByName(done)
             level += 1
             rows = self._counted(self._children(self._rest), f"level{level}")
-        self._compare_leaves(leaves)
+        final = self._with_own(leaves)
+        self._compare(final if parts is None else final.unionByName(self._parts(parts)))
         labelled = self._labelled(self.classes.withColumnRenamed("rep", "uid"))
         firsts = labelled.groupBy("label").agg(F.min("first").alias("component"))
         classes = labelled.join(firsts, "label").select("k1", "k2", F.col("n").alias("size"), "component")
@@ -527,7 +531,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     table. A text of any length is read whole; its set is in one task's memory beside SET_BYTES of others.
     recall is the least chance, for a pair at the threshold, that some tree compares it; closer pairs have a higher one.
     """
-    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.col(text).alias("text")), "numbered")
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), F.col(text).alias("text")), "numbered", "zstd")
     found = ChosenPath(numbered, percent, size, recall, leaf).run()
     drop_table(numbered)
     same = F.coalesce(F.col("key") == F.col("component.key"), F.lit(False))
@@ -541,7 +545,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     empty table gives an empty table.
     """
     name = {c: f"c{k}" for k, c in enumerate(docs.columns)}
-    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), *(F.col(f"`{c}`").alias(n) for c, n in name.items())), "numbered")
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("uid"), *(F.col(f"`{c}`").alias(n) for c, n in name.items())), "numbered", "zstd")
     found = ChosenPath(numbered.select("uid", F.col(name[key]).alias("key"), F.col(name[text]).alias("text")), percent, SHINGLE, 0.99999, LEAF).run()
     chosen = found.where(F.col("uid") == F.col("component.uid")).select("uid")
     return numbered.join(chosen, "uid", "left_semi").select(*(F.col(n).alias(c) for c, n in name.items()))

@@ -97,9 +97,9 @@ def test_rows_moved_grow_with_the_size_of_a_component(spark, monkeypatch):
     moved = []
     compare = dedup.ChosenPath._compare
 
-    def counting(self, leaves, rule):
+    def counting(self, leaves):
         moved[-1] += leaves.count()
-        compare(self, leaves, rule)
+        compare(self, leaves)
 
     monkeypatch.setattr(dedup.ChosenPath, "_compare", counting)
     r = random.Random(7)
