@@ -205,6 +205,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _ALL = (1 << 64) - 1
+#: Sets the steps of one unit apart from those of all others.
+_UNIT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mix_one(x: int) -> int:
@@ -248,7 +250,7 @@ class _Arrays:
             choose = np.flatnonzero(edge < last)
             if len(choose):
                 who = at[choose]
-                u = _uniform(base[who], unit[who] * 4096 + step)
+                u = _uniform(base[who], unit[who].astype(np.uint64) * _UNIT + np.uint64(step))  # no two places of units of any length are alike
                 while len(choose):  # likely edges come first: most stop at once
                     here = edge[choose]
                     u = u - self.share[here]
@@ -407,7 +409,8 @@ def sample(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
     inclusion is the chance that a segmentation of this probability scores above the best one left out. round_trip
     tells whether decoding gives the text again (it does not where a text holds U+2581, which stands for a space).
     Null or empty text: one sample without pieces. Null or repeated keys: rows with equal keys and texts give equal
-    samples. Other columns are ignored. An empty table gives an empty table. Whole texts are sampled.
+    samples. Other columns are ignored. An empty table gives an empty table. Whole texts are sampled; a very long one
+    is searched like any other and is in one task's memory.
     """
     kind = docs.schema[key].dataType.simpleString()
     narrow = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key).cast("string")).alias("seed"), F.col(text).alias("text"))
@@ -417,22 +420,31 @@ def sample(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
         spells = lat.pieces.spells
         for batch, texts in text_chunks(batches):
             seeds = [s & (2**64 - 1) for s in batch.column(1).to_pylist()]
-            rows: list[tuple] = []
+            rows, found = [], []
             for n, (t, (ids, logs, scores, inclusion)) in enumerate(zip(texts, sample_block(lat, texts, seeds, k), strict=True)):
                 for r, (i, lp, s, p) in enumerate(zip(ids, logs, scores, inclusion, strict=True)):
-                    rows.append((n, r + 1, len(i), lp, s, p, zlib.crc32(i.astype("<u4").tobytes()), spells(i, t), i if with_ids else None))
+                    rows.append((n, r + 1, len(i), lp, s, p, zlib.crc32(i.astype("<u4").tobytes()), spells(i, t)))
+                    found.append(i)
             cols = list(zip(*rows, strict=True))
             keys = batch.column(0).take(pa.array(cols[0], pa.int32()))
-            types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(cols[1:], types, strict=True))], names=["key", "sample", "n_pieces", "log_prob", "score", "inclusion", "ids_crc32", "round_trip", "ids"])
+            types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
+            made = [pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]
+            if with_ids:
+                ends = np.cumsum([0, *cols[2]], dtype=np.int32)
+                made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32, copy=False))))
+            yield pa.RecordBatch.from_arrays([keys, *made], names=["key", *names])
 
-    out = narrow.mapInArrow(run, f"key {kind}, sample int, n_pieces long, log_prob double, score double, inclusion double, ids_crc32 long, round_trip boolean, ids array<int>")
     names = ["sample", "n_pieces", "log_prob", "score", "inclusion", "ids_crc32", "round_trip"] + (["ids"] if with_ids else [])
+    types = f"key {kind}, sample int, n_pieces long, log_prob double, score double, inclusion double, ids_crc32 long, round_trip boolean"
+    out = narrow.mapInArrow(run, types + (", ids array<int>" if with_ids else ""))
     return out.select(F.col("key").alias(key), *names)
 
 
 def decode(samples: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """key and the text of each row's ids; null ids give null."""
+    """key and the text of each row's ids; null ids give null, no ids the empty text.
+
+    Other columns are ignored, whatever their names. An empty table gives an empty table.
+    """
     kind = samples.schema[key].dataType.simpleString()
     narrow = samples.select(F.col(key).alias("key"), F.col(ids).cast("array<int>").alias("ids"))
 
