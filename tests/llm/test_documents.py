@@ -443,6 +443,35 @@ def test_languages_of_odd_rows(spark, odd_docs, no_docs):
     assert language.fit(odd_docs.withColumn("lang", odd_docs.lang.substr(9, 1))).languages == ("",)
 
 
+def grams(text):
+    points, m = [ord(c) for c in " ".join(text.lower().split())], [int(x) for x in language._MULTIPLIERS]
+    for n in language.ORDERS:
+        for i in range(len(points) - n + 1):
+            h = 0
+            for j in range(n):
+                h = (h + points[i + j] + j + 1) * m[j] % 2**64
+                h ^= h >> 29
+            yield h * m[0] % 2**64 >> 48
+
+
+def brute_languages(texts, hidden):
+    """{position: (language, probability)} of texts [(text, lang)] with letters, learned from those not hidden."""
+    seen, rows, out = defaultdict(Counter), Counter(), {}
+    for k, (t, x) in enumerate(texts):
+        if k not in hidden and t is not None:
+            seen[x].update(grams(t))
+            rows[x] += 1
+    sums = {x: sum(c.values()) for x, c in seen.items()}
+    for k, (t, _) in enumerate(texts):
+        if re.search(r"[^\W\d_]", t or ""):
+            mine = Counter(grams(t))
+            total = {x: math.log(rows[x] / sum(rows.values())) + sum(n * math.log((seen[x][b] + 0.5) / (sums[x] + 0.5 * language.BUCKETS)) for b, n in mine.items()) for x in rows}
+            p = {x: math.exp(v - max(total.values())) for x, v in total.items()}
+            best = max(sorted(p), key=p.get)
+            out[k] = best, p[best] / sum(p.values())
+    return out
+
+
 def test_scores_equal_brute_force_naive_bayes(spark):
     """Every n-gram by itself, in plain numbers, against the batches."""
     r = random.Random(8)
@@ -451,32 +480,10 @@ def test_scores_equal_brute_force_naive_bayes(spark):
     df = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(texts)], "doc_id long, text string, lang string")
     hidden = {k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 4 == 2}
 
-    def grams(text):
-        points, m = [ord(c) for c in " ".join(text.lower().split())], [int(x) for x in language._MULTIPLIERS]
-        for n in language.ORDERS:
-            for i in range(len(points) - n + 1):
-                h = 0
-                for j in range(n):
-                    h = (h + points[i + j] + j + 1) * m[j] % 2**64
-                    h ^= h >> 29
-                yield h * m[0] % 2**64 >> 48
-
-    seen, rows = defaultdict(Counter), Counter()
-    for k, (t, x) in enumerate(texts):
-        if k not in hidden and t is not None:
-            seen[x].update(grams(t))
-            rows[x] += 1
     got = {x.doc_id: (x.lang_pred, x.score) for x in language.predict(df, language.fit(df)).collect()}
-    for k, (t, _) in enumerate(texts):
-        if not re.search(r"[^\W\d_]", t or ""):
-            assert got[k] == ("und", 0.0)
-            continue
-        mine = Counter(grams(t))
-        total = {x: math.log(rows[x] / sum(rows.values())) + sum(n * math.log((seen[x][b] + 0.5) / (sum(seen[x].values()) + 0.5 * language.BUCKETS)) for b, n in mine.items()) for x in "xyz"}
-        top = max(total.values())
-        p = {x: math.exp(v - top) for x, v in total.items()}
-        best = max(sorted(p), key=p.get)
-        assert got[k][0] == best and got[k][1] == pytest.approx(p[best] / sum(p.values()), rel=1e-3), k
+    want = brute_languages(texts, hidden)
+    for k in range(len(texts)):
+        assert got[k][0] == want.get(k, ("und", 0.0))[0] and got[k][1] == pytest.approx(want.get(k, ("und", 0.0))[1], rel=1e-3), k
 
 
 def test_prediction_ignores_labels(spark):
@@ -536,3 +543,41 @@ def test_thresholds_follow_groups(spark):
     assert all(got[k] for k in range(100)) and not any(got[k] for k in range(100, 112))
     assert all(got[1000 + k] for k in range(90)), "a source of tables keeps its symbols"
     assert got[2000]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage in plain Python or SQL, each on what the one before kept, against run()."""
+    from pathlib import Path
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from compare import connect
+
+    import corpus_pipeline
+
+    for f in Path(SF).iterdir():
+        if f.name != "documents.parquet":
+            (tmp_path / f.name).symlink_to(f)
+    table = pq.read_table(f"{SF}/documents.parquet")
+    long = max((r for r in table.to_pylist() if r["lang"] == "en"), key=lambda r: len(set((r["text"] or "").split())))
+    more = [long | {"doc_id": 10**6 + k, "text": f"{k} ".join(long["text"].split()[k::2]) + f' api_key = "k{k}9f8e7d6c5b" and password: hunter{k}two'} for k in range(2)]
+    pq.write_table(pa.concat_tables([table, pa.Table.from_pylist(more, table.schema)]), tmp_path / "documents.parquet")
+    sf = str(tmp_path)
+    kept = {r[0] for r in connect(sf).execute(f"SELECT doc_id FROM ({quality.SQL}) WHERE kept").fetchall()}
+    rows = sorted(((r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.doc_id in kept), key=lambda r: r[0])
+    hidden = {k for k, (i, _, _) in enumerate(rows) if zlib.crc32(str(i).encode()) % 4 == 2}
+    found = brute_languages([(t, x) for _, t, x in rows], hidden)
+    rows = [r for k, r in enumerate(rows) if found.get(k, ("", 0.0))[1] >= corpus_pipeline.MIN_LANGUAGE_SCORE]
+    _, roots = brute_components([t for _, t, _ in rows], corpus_pipeline.SIMILARITY)
+    rows = [r for k, r in enumerate(rows) if roots[k] == k]
+    clean = []
+    for i, text, _ in rows:
+        parts, at = [], 0
+        for begin, _, end in base_spans(text):
+            if begin >= at:
+                parts += [text[at:begin], "[SECRET]"]
+            at = max(at, end)
+        clean.append((i, "".join(parts) + text[at:]))
+    packed = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in clean} and any("[SECRET]" in t for _, t in clean)
+    assert check_packing(packed, clean, 1024) <= 1.02 * -(-sum(r.length for r in packed) // 1024)
