@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from rowloom.model import Matrix, Vector
 from rowloom.operators import algebra, stats
-from rowloom.sources import load_matrix, load_vector, operation_of, save_matrix, save_vector, sniff
+from rowloom.sources import exists, load_matrix, load_vector, operation_of, save_matrix, save_vector, sniff
 
 
 def parser() -> argparse.ArgumentParser:
@@ -38,6 +38,9 @@ def load(spark: SparkSession, path: str, kind: str, args: argparse.Namespace) ->
 
 def run(spark: SparkSession, args: argparse.Namespace) -> Matrix | Vector:
     a, b = args.input_a or args.files[0], args.input_b or args.files[-1]
+    for path in (a, b):
+        if not exists(spark, path):
+            raise FileNotFoundError(f"no file {path}")
     kinds = sniff(spark, a), sniff(spark, b)
     operation_of(*kinds)
     result = algebra.dispatch(load(spark, a, kinds[0], args), load(spark, b, kinds[1], args), args.strategy)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowloom.model import Matrix, Vector
 from rowloom.operators import algebra
-from rowloom.session import shared_dir
+from rowloom.session import drop_table, materialise, shared_dir
 
 #: Steps between checkpoints: plans of a few joins are cheaper to run whole than to write out.
 CUT_EVERY = 5
@@ -39,16 +39,28 @@ def pagerank(m: Matrix, steps: int = 10, damping: float = 0.85, transpose: bool
 
 
 def power_iteration(m: Matrix, start: DataFrame | None = None, steps: int = 20, seed: int = 42) -> Vector:
-    """v <- A v / |A v|; the norm is a one-row relation joined lazily, so nothing returns to the driver."""
+    """v <- A v / |A v|; the norm is a one-row relation joined lazily, so nothing returns to the driver.
+
+    Both the norm and the next vector read A v, so it is written in each step: a plan never holds more than one product.
+    """
     spark = m.df.sparkSession
     v = start if start is not None else spark.range(m.num_cols).select(F.col("id").alias("idx"), F.randn(seed).alias("value"))
-    for step in range(1, steps + 1):
-        y = algebra.spmv(m.df, v, m.layout)
+    y = None
+    for _ in range(steps):
+        before, y = y, materialise(algebra.spmv(m.df, v, m.layout), "product")
+        if before is not None:
+            drop_table(before)
         norm = y.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-        v = _cut(y.crossJoin(F.broadcast(norm)).select("idx", (F.col("value") / F.col("norm")).alias("value")), step, steps)
+        v = y.crossJoin(F.broadcast(norm)).select("idx", (F.col("value") / F.col("norm")).alias("value"))  # one row
     return Vector(v, m.num_rows, "sparse")
 
 
+def centrality(m: Matrix, steps: int = 10) -> Vector:
+    """How many weighted walks of this many edges begin at each vertex: A^steps times the vector of ones."""
+    ones = m.df.sparkSession.range(m.num_cols).select(F.col("id").alias("idx"), F.lit(1.0).alias("value"))
+    return iterated_spmv(m, ones, steps)
+
+
 def iterated_spmv(m: Matrix, x: DataFrame, steps: int = 10) -> Vector:
     """A^steps x without damping; also the graph-centrality loop."""
     for step in range(1, steps + 1):

@@ -63,6 +63,22 @@ def _salted_sum(products: DataFrame, keys: list[str]) -> DataFrame:
     return salted.groupBy(*keys).agg(F.sum("value").alias("value"))
 
 
+_held: list[DataFrame] = []
+
+
+def release_caches() -> None:
+    """Give back the memory of the operands that the last product with the caching strategy holds."""
+    while _held:
+        _held.pop().unpersist()
+
+
+def _cached(*operands: DataFrame) -> list[DataFrame]:
+    """Operands kept by executors until the next such product or release_caches(); a plan that lost them computes them again."""
+    release_caches()
+    _held.extend(x.persist(StorageLevel.MEMORY_AND_DISK) for x in operands)
+    return list(_held)
+
+
 def spmv(a: DataFrame, x: DataFrame, layout: str = "coo", strategy: str = "adaptive", size: int | None = None) -> DataFrame:
     """y[i] = sum_j A[i,j] x[j] as (idx, value); rows without a match are absent and exact zeros are kept."""
     strategy = _name(strategy, SPMV, layout)
@@ -81,7 +97,7 @@ def spmv(a: DataFrame, x: DataFrame, layout: str = "coo", strategy: str = "adapt
     elif strategy == "broadcast":
         x = _broadcast(x)
     if strategy == "caching":
-        entries, x = entries.persist(StorageLevel.MEMORY_AND_DISK), x.persist(StorageLevel.MEMORY_AND_DISK)
+        entries, x = _cached(entries, x)
     products = entries.join(x, "inner").select(F.col("row").alias("idx"), "inner", (F.col("value") * F.col("x")).alias("value"))
     if strategy == "balanced":
         return _salted_sum(products, ["idx"])
@@ -139,7 +155,7 @@ def spmm(a: DataFrame, b: DataFrame, layout: str = "coo", strategy: str = "adapt
             elif strategy in ("broadcast", "rowwise"):
                 right = _broadcast(right)
             if strategy == "caching":
-                left, right = left.persist(StorageLevel.MEMORY_AND_DISK), right.persist(StorageLevel.MEMORY_AND_DISK)
+                left, right = _cached(left, right)
             products = left.join(right, "inner").select("row", F.col("bcol").alias("col"), (F.col("value") * F.col("bvalue")).alias("value"))
         out = products.groupBy("row", "col").agg(F.sum("value").alias("value"))
     return out.where(not_zero("value")) if drop_zeros else out

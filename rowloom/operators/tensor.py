@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import checked_product, not_zero
 from rowloom.model import FactorMatrix, SparseTensor
+from rowloom.operators.strategy import small_enough
 
 STRATEGIES = ("baseline", "copartition", "inpartition", "adaptive")
 
@@ -91,13 +92,23 @@ def tensor_times_matrix(t: SparseTensor, m: DataFrame, mode: int, num_cols: int
 
 
 def khatri_rao(a: FactorMatrix, b: FactorMatrix) -> FactorMatrix:
-    """Column-wise Kronecker product: row a.idx * b.num_rows + b.idx, one equi-join on the rank column."""
+    """Column-wise Kronecker product: row a.idx * b.num_rows + b.idx, one equi-join on the rank column.
+
+    A rank has few values, so that a second factor too large to broadcast is copied to as many salts as there are
+    shuffle partitions; the copies are fewer than the result's rows as soon as the first factor has more rows than that.
+    """
     if a.rank != b.rank:
         raise ValueError(f"ranks differ: {a.rank} and {b.rank}")
     rows = checked_product(a.num_rows, b.num_rows)
     left = a.df.select(F.col("idx").alias("ia"), "r", F.col("value").alias("va"))
     right = b.df.select(F.col("idx").alias("ib"), "r", F.col("value").alias("vb"))
-    df = left.join(right, "r").select((F.col("ia") * F.lit(b.num_rows) + F.col("ib")).alias("idx"), "r", (F.col("va") * F.col("vb")).alias("value"))
+    if small_enough(right):
+        joined = left.join(F.broadcast(right), "r")
+    else:
+        salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        right = right.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+        joined = left.withColumn("salt", F.pmod(F.xxhash64("ia"), F.lit(salts))).join(right, ["r", "salt"])
+    df = joined.select((F.col("ia") * F.lit(b.num_rows) + F.col("ib")).alias("idx"), "r", (F.col("va") * F.col("vb")).alias("value"))
     return FactorMatrix(df, rows, a.rank)
 
 

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowloom import sources
 from rowloom.model import FactorMatrix, Matrix, SparseTensor, Vector
 from rowloom.operators import algebra, iterative, layout, stats, strategy, tensor, verify
 from rowloom.plans import planner
 from rowloom.plans.views import Views, with_views
+from rowloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,8 +122,8 @@ register("mttkrp_ones", lambda v: tensor.mttkrp_with_ones(_t(v), 0, 10).df, "T",
 for _layout, _mode in (("csr", 0), ("csc", 1)):
     register(f"mttkrp_ones_{_layout}", lambda v, lay=_layout, m=_mode: layout.pack(tensor.collapse(_t(v)), lay).select(F.col("row" if lay == "csr" else "col").alias("idx"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("value")), "T",
              f"SELECT {'ij'[_mode]} AS idx, SUM(value) AS value FROM T GROUP BY 1")
-register("khatri_rao", lambda v: tensor.khatri_rao(FactorMatrix(v.factor(40), 40, 3), FactorMatrix(v.factor(25), 25, 3)).df, "U",
-         "SELECT P.idx * 25 + Q.idx AS idx, P.r AS r, P.value * Q.value AS value FROM U P JOIN U Q ON P.r = Q.r WHERE P.idx < 40 AND Q.idx < 25")
+register("khatri_rao", lambda v: tensor.khatri_rao(*_factors(v, _t(v), 2)).df, "T D U",
+         "SELECT P.idx * dj + Q.idx AS idx, P.r AS r, P.value * Q.value AS value FROM D, U P JOIN U Q ON P.r = Q.r WHERE P.idx < di AND Q.idx < dj")
 register("tensor_stats", lambda v: stats.tensor_stats(v.tensor), "T",
          "SELECT MAX(i) + 1 AS dim_i, MAX(j) + 1 AS dim_j, MAX(k) + 1 AS dim_k, COUNT(*) AS nnz, (MAX(i) + 1) * (MAX(j) + 1) * (MAX(k) + 1) AS total_elements, 1 - CAST(COUNT(*) AS DOUBLE) / ((MAX(i) + 1) * (MAX(j) + 1) * (MAX(k) + 1)) AS sparsity FROM T")
 
@@ -173,5 +175,56 @@ register("item_similarity_upper", lambda v: iterative.item_similarity(v.ratings,
 register("matrix_power_k2", lambda v: iterative.matrix_power(_g(v), 2).coo(), "G", (SPMM + KEEP).replace("{b}", "H").replace("{a}", "G").replace("JOIN H", "JOIN G H"))
 register("khop_reach_k3", lambda v: iterative.k_hop_reachability(v.graph.select(F.col("row").alias("src"), F.col("col").alias("dst")), 3), "G",
          'SELECT DISTINCT p.src AS src, e.col AS dst FROM (SELECT DISTINCT a."row" AS src, b.col AS dst FROM G a JOIN G b ON a.col = b."row") p JOIN G e ON p.dst = e."row"')
-register("verify_equivalence", lambda v: verify.summary(strategy.spmv(v.part_supplier, v.x_dense), strategy.spmv(layout.pack(v.part_supplier, "csc"), v.x_dense, "csc", "colwise"), ["idx"]), "",
-         "SELECT CAST(0 AS BIGINT) AS mismatches, CAST(0 AS DOUBLE) AS max_error")
+register("graph_centrality_k3", lambda v: iterative.centrality(_g(v), 3).df)
+_ONES = 'w1 AS (SELECT "row" AS idx, SUM(value) AS value FROM G GROUP BY 1), ' + ", ".join(f'w{s} AS (SELECT G."row" AS idx, SUM(G.value * w.value) AS value FROM G JOIN w{s - 1} w ON G.col = w.idx GROUP BY 1)' for s in (2, 3))
+ORACLES["graph_centrality_k3"] = with_views("G", "").rstrip() + ", " + _ONES + " SELECT idx, value FROM w3"
+register("verify_equivalence", lambda v: verify.summary(strategy.spmv(v.part_supplier, v.x_dense), strategy.spmv(layout.pack(v.part_supplier, "csc"), v.x_dense, "csc", "colwise"), ["idx"]), "A x",
+         'SELECT COUNT(*) FILTER (p.idx IS NULL OR q.idx IS NULL OR ABS(p.value - q.value) > 1e-10) AS mismatches, COALESCE(MAX(ABS(p.value - q.value)), 0) AS max_error '
+         'FROM (SELECT "row" AS idx, SUM(A.value * x.value) AS value FROM A JOIN x ON A.col = x.idx GROUP BY 1) p '
+         'FULL JOIN (SELECT "row" AS idx, SUM(s) AS value FROM (SELECT "row", x.value AS w, SUM(A.value) * x.value AS s FROM A JOIN x ON A.col = x.idx GROUP BY 1, 2) GROUP BY 1) q ON p.idx = q.idx')
+
+
+# Text files: a view is saved and read again by each reader.
+def _file(v: Views, df: DataFrame, columns: str) -> str:
+    """The path of a folder of unsorted comma-separated lines."""
+    path = scratch_path(v.spark, "text")
+    df.select(F.concat_ws(",", *columns.split()).alias("value")).write.text(path)
+    return path
+
+
+def _saved(v: Views, df: DataFrame, save: Callable[[DataFrame, str], None]) -> str:
+    path = scratch_path(v.spark, "saved")
+    save(df, path)
+    return path
+
+
+register("csv_sparse_matrix", lambda v: sources.load_sparse_matrix(v.spark, _saved(v, v.signed_graph, sources.save_matrix)), "G S", 'SELECT "row", col, value FROM S')
+register("csv_dense_matrix", lambda v: sources.load_dense_matrix(v.spark, _saved(v, v.b_dense, sources.save_matrix)), "B", 'SELECT "row", col, value FROM B')
+register("csv_sparse_vector", lambda v: sources.load_sparse_vector(v.spark, _saved(v, v.x_sparse, sources.save_vector)), "xs", "SELECT idx, value FROM xs")
+register("csv_dense_vector", lambda v: sources.load_dense_vector(v.spark, _saved(v, v.x_dense, sources.save_vector)), "x", "SELECT idx, value FROM x")
+register("csv_tensor", lambda v: sources.load_tensor(v.spark, _file(v, v.tensor, "i j k value")), "T", "SELECT i, j, k, value FROM T")
+
+
+def _smart_matrix(v: Views) -> DataFrame:
+    m = sources.load_matrix(v.spark, _saved(v, v.order_part, sources.save_matrix))
+    return m.df.agg(F.count(F.lit(1)).alias("nnz")).select("nnz", F.lit(m.layout).alias("layout"), F.lit(m.num_rows).cast("long").alias("num_rows"), F.lit(m.num_cols).cast("long").alias("num_cols"))
+
+
+def _smart_vector(v: Views) -> DataFrame:
+    x = sources.load_vector(v.spark, _saved(v, v.x_edge, sources.save_vector))
+    return x.df.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(x.kind).alias("kind"), F.lit(x.size).cast("long").alias("size"))
+
+
+def _sniffed(v: Views) -> DataFrame:
+    paths = {"A": _saved(v, v.part_supplier, sources.save_matrix), "x": _saved(v, v.x_dense, sources.save_vector)}
+    kinds = {name: sources.sniff(v.spark, path) for name, path in paths.items()}
+    rows = [(name, kind, sources.exists(v.spark, paths[name])) for name, kind in kinds.items()]
+    return v.spark.createDataFrame([*rows, ("A x", sources.operation_of(kinds["A"], kinds["x"]), sources.exists(v.spark, paths["x"] + "-none"))], "name string, kind string, there boolean")
+
+
+register("smart_load_matrix", _smart_matrix, "O",
+         "SELECT COUNT(*) AS nnz, CASE WHEN 1 - CAST(COUNT(*) AS DOUBLE) / ((MAX(\"row\") + 1) * (MAX(col) + 1)) > 0.9 THEN 'coo' ELSE 'dense' END AS layout, MAX(\"row\") + 1 AS num_rows, MAX(col) + 1 AS num_cols FROM O")
+register("smart_load_vector", _smart_vector, "xe",
+         "SELECT COUNT(*) AS n, CASE WHEN 1 - CAST(COUNT(*) AS DOUBLE) / (MAX(idx) + 1) > 0.9 THEN 'sparse' ELSE 'dense' END AS kind, MAX(idx) + 1 AS size FROM xe")
+register("sniff_files", _sniffed, "",
+         "SELECT * FROM (VALUES ('A', 'matrix', TRUE), ('x', 'vector', TRUE), ('A x', 'matrix-vector', FALSE)) t(name, kind, there)")

@@ -37,6 +37,11 @@ class Views:
         s = self.table("supplier").where("s_acctbal < 0")
         return s.select(F.col("s_suppkey").cast("long").alias("idx"), (F.lit(1) + F.col("s_suppkey") % 7).cast("double").alias("value"))
 
+    @property
+    def x_edge(self) -> DataFrame:
+        """Every eleventh supplier: about nine in ten entries are absent, at the edge of what counts as sparse."""
+        return self.x_dense.where("idx % 11 = 0")
+
     @property
     def x_part(self) -> DataFrame:
         return self.table("part").select(F.col("p_partkey").cast("long").alias("idx"), (F.lit(1) + F.col("p_partkey") % 5).cast("double").alias("value"))
@@ -100,7 +105,8 @@ SQL = {
     "T": "SELECT CAST(l_suppkey AS BIGINT) AS i, CAST(l_linenumber AS BIGINT) AS j, CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS BIGINT) AS k, CAST(SUM(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2, 3",
     "D": "SELECT MAX(i) + 1 AS di, MAX(j) + 1 AS dj, MAX(k) + 1 AS dk FROM T",
     "E": "SELECT CAST(user_id AS BIGINT) AS \"row\", CAST(hour(ts) AS BIGINT) AS col, CAST(COUNT(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2",
-    "U": "SELECT CAST(i AS BIGINT) AS idx, CAST(c AS BIGINT) AS r, CAST((i * 2 + c) % 5 AS DOUBLE) AS value FROM range(2000) t(i), range(3) s(c)",
+    "U": "SELECT CAST(i AS BIGINT) AS idx, CAST(c AS BIGINT) AS r, CAST((i * 2 + c) % 5 AS DOUBLE) AS value FROM (SELECT UNNEST(range((SELECT GREATEST(MAX(l_suppkey), MAX(l_linenumber), 2) + 1 FROM lineitem))) AS i) t, range(3) s(c)",
+    "xe": "SELECT CAST(s_suppkey AS BIGINT) AS idx, CAST(1 + s_suppkey % 7 AS DOUBLE) AS value FROM supplier WHERE s_suppkey % 11 = 0",
 }
 _NEEDS = {"S": ["G"], "D": ["T"]}
 

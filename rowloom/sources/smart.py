@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import SparkSession
@@ -54,15 +53,23 @@ def operation_of(kind_a: str, kind_b: str) -> str:
     return f"{kind_a}-{kind_b}"
 
 
-def discover(folder: str) -> list[dict]:
-    """Pairs sparse_matrix_RxC*.csv with dense_vector_N*.csv where N is the matrix's number of columns."""
-    names = sorted(os.listdir(folder))
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def discover(spark: SparkSession, folder: str, category: str | None = None) -> list[dict]:
+    """Pairs sparse_matrix_RxC*.csv with dense_vector_N*.csv where N is the matrix's number of columns, of one size category or all."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    names = sorted(f.getPath().getName() for f in listed)
     vectors = {int(m[1]): n for n in reversed(names) if (m := re.fullmatch(r"dense_vector_(\d+).*\.csv", n))}
     found = []
     for name in names:
         if m := re.fullmatch(r"sparse_matrix_(\d+)x(\d+).*\.csv", name):
             rows, cols = int(m[1]), int(m[2])
             size = "small" if rows < 1000 else "medium" if rows < 10000 else "large" if rows < 20000 else "extra-large"
-            if cols in vectors:
+            if cols in vectors and category in (None, size):
                 found.append({"matrix": f"{folder}/{name}", "vector": f"{folder}/{vectors[cols]}", "rows": rows, "cols": cols, "category": size})
     return found

@@ -198,3 +198,31 @@ def test_iterations(spark, a):
     assert got(iterative.matrix_power(ring, 4).df, "row", "col") == [(k, k, 1.0) for k in range(4)]
     edges = ring.df.selectExpr("row as src", "col as dst")
     assert sorted(map(tuple, iterative.k_hop_reachability(edges, 3).collect())) == [(k, (k + 3) % 4) for k in range(4)]
+
+
+def test_power_iteration_plans_do_not_grow_with_the_steps(spark):
+    g = Matrix(spark.createDataFrame([(0, 1, 2.0), (1, 0, 1.0), (1, 1, 3.0)], "row long, col long, value double"), 2, 2)
+    scans = [iterative.power_iteration(g, steps=k).df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRelation") + iterative.power_iteration(g, steps=k).df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for k in (2, 6)]
+    assert scans[0] == scans[1] > 0
+
+
+def test_khatri_rao_of_large_factors_is_salted(spark, monkeypatch):
+    from rowloom.operators import tensor
+
+    f = lambda n: FactorMatrix(spark.range(n).selectExpr("id AS idx", "CAST(id % 2 AS long) AS r", "CAST(id + 1 AS double) AS value"), n, 2)
+    want = sorted(map(tuple, tensor.khatri_rao(f(30), f(7)).df.collect()))
+    monkeypatch.setattr(tensor, "small_enough", lambda df: False)
+    assert sorted(map(tuple, tensor.khatri_rao(f(30), f(7)).df.collect())) == want
+
+
+def test_caches_are_given_back(spark):
+    from rowloom.operators import strategy
+
+    a = spark.createDataFrame([(0, 1, 2.0)], "row long, col long, value double")
+    x = spark.createDataFrame([(1, 3.0)], "idx long, value double")
+    for _ in range(3):
+        assert strategy.spmv(a, x, strategy="caching").collect()[0].value == 6.0
+    held = list(strategy._held)
+    assert len(held) == 2 and all(d.is_cached for d in held)
+    strategy.release_caches()
+    assert not strategy._held and not any(d.is_cached for d in held)

@@ -4,7 +4,7 @@ import pytest
 
 from rowloom import cli
 from rowloom.model import EmptyInputError
-from rowloom.sources import csv, discover, generate, load_matrix, load_vector, save_matrix, save_vector, sniff
+from rowloom.sources import csv, discover, exists, generate, load_matrix, load_vector, save_matrix, save_vector, sniff
 from rowloom.streaming.incremental import stream_spmv, windowed_counts
 
 
@@ -53,7 +53,9 @@ def test_sniffing_and_discovery(spark, tmp_path):
         sniff(spark, write(tmp_path / "d.csv", "row,col,value\n"))
     for n in ("sparse_matrix_10x15.csv", "sparse_matrix_2000x10.csv", "dense_vector_10.csv"):
         write(tmp_path / n, "")
-    assert [(d["rows"], d["category"]) for d in discover(str(tmp_path))] == [(2000, "medium")]
+    assert [(d["rows"], d["category"]) for d in discover(spark, str(tmp_path))] == [(2000, "medium")]
+    assert discover(spark, str(tmp_path), "small") == [] and len(discover(spark, str(tmp_path), "medium")) == 1
+    assert exists(spark, str(tmp_path / "a.csv")) and not exists(spark, str(tmp_path / "none.csv"))
 
 
 def test_command_line_round_trip(spark, tmp_path, capsys):
@@ -108,15 +110,11 @@ def test_windowed_counts(spark, tmp_path):
     assert spark.table("win_out").agg({"n": "sum"}).first()[0] == src.count()
 
 
-def test_splits_are_held_once(spark):
-    from rowloom.session import hold_splits
+def test_written_tables_are_deleted(spark):
+    from rowloom.session import drop_table, materialise
 
-    key = "spark.sql.files.minPartitionNum"
-    spark.conf.unset(key)
-    hold_splits(spark)
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert spark.conf.get(key) == str(max(spark.sparkContext.defaultParallelism, shuffles))
-    spark.conf.set(key, "3")
-    hold_splits(spark)
-    assert spark.conf.get(key) == "3"
-    spark.conf.unset(key)
+    t = materialise(spark.range(5), "five", "zstd")
+    path = t.written_path
+    assert t.count() == 5 and exists(spark, path)
+    drop_table(t)
+    assert not exists(spark, path) and spark.conf.get("spark.sql.files.minPartitionNum", None) is None
