@@ -140,6 +140,27 @@ def test_long_conversations_are_parts_that_join(spark):
     assert "".join(r.rendered for r in got if r.conv_id == 1) == "".join(f"<|im_start|>user\nturn {t}<|im_end|>\n" for t in range(700))
 
 
+def test_crowded_turn_numbers_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CROWDED", 8)
+    monkeypatch.setattr(chat, "CHUNK", 4)
+    # null numbers, one number for many turns, and rows that repeat; conversation 2 is 1 without its last turn
+    rows = [(None, "user", f"n{i % 30}") for i in range(40)] + [(3, "user" if i % 3 else "bot", f"t{i % 50}") for i in range(60)] + [(t, "user", f"u{t}") for t in range(4, 12)]
+    both = [(1, *r) for r in rows] + [(2, *r) for r in rows[:-1]]
+    got = chat.format_chats(turns(spark, both)).orderBy("conv_id", "part").collect()
+    assert {r.conv_id for r in got} == {1} and [r.part for r in got] == list(range(len(got)))
+    assert sum(r.n_turns for r in got) == len(rows) and {r.total_turns for r in got} == {len(rows)}
+    assert max(r.n_turns for r in got) < 20 < len(got)
+    whole = "".join(r.rendered for r in got)
+    order = [whole.index(x) for x in ("n0<", "\nt0<", "u4<", "u11<")]
+    assert order == sorted(order)
+    assert sorted(whole.split("<|im_end|>\n")[:-1]) == sorted(f"<|im_start|>{role}\n{text}" for _, role, text in rows)
+
+
+def test_long_turn(spark):
+    got = chat.format_chats(turns(spark, [(1, 0, "user", "ab" * 2_000_000), (1, 1, "bot", "")])).collect()
+    assert [(r.n_turns, len(r.rendered)) for r in got] == [(2, 4_000_000 + len("<|im_start|>user\n<|im_end|>\n<|im_start|>bot\n<|im_end|>\n"))]
+
+
 # Archives.
 def pages(spark, rows):
     return spark.createDataFrame([(*r, "x", b"y") for r in rows], "page_id long, url string, html string, digest string, payload binary")
