@@ -43,8 +43,14 @@ def _name(strategy: str, table: dict, layout: str) -> str:
 
 
 def _parts(df: DataFrame, factor: int = 2) -> int:
-    """Explicit partition counts follow the session, not the machine."""
-    return max(factor * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Explicit partition counts follow the session and the planner's size estimate, not the machine."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    return max(factor * parallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), optimal_partitions(estimated_bytes(df), parallelism))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a relation's size; no job runs."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rowloom import sources
 from rowloom.model import FactorMatrix, Matrix, SparseTensor, Vector
-from rowloom.operators import algebra, iterative, layout, stats, strategy, tensor, verify
+from rowloom.operators import algebra, iterative, layout, mllib, stats, strategy, tensor, verify
+from rowloom.operators.contract import LayoutOperations
 from rowloom.plans import planner
 from rowloom.plans.views import Views, with_views
 from rowloom.session import scratch_path
@@ -228,3 +229,26 @@ register("smart_load_vector", _smart_vector, "xe",
          "SELECT COUNT(*) AS n, CASE WHEN 1 - CAST(COUNT(*) AS DOUBLE) / (MAX(idx) + 1) > 0.9 THEN 'sparse' ELSE 'dense' END AS kind, MAX(idx) + 1 AS size FROM xe")
 register("sniff_files", _sniffed, "",
          "SELECT * FROM (VALUES ('A', 'matrix', TRUE), ('x', 'vector', TRUE), ('A x', 'matrix-vector', FALSE)) t(name, kind, there)")
+
+
+# The products as a protocol, and by Spark's distributed matrices.
+def _extent(df: DataFrame) -> tuple[int, int]:
+    return tuple(df.agg((F.max("row") + 1).alias("rows"), (F.max("col") + 1).alias("cols")).first())
+
+
+def _mllib_spmv(v: Views) -> DataFrame:
+    rows, cols = _extent(v.part_supplier)
+    return mllib.spmv(v.part_supplier, v.x_dense.where(F.col("idx") < cols), rows, cols)
+
+
+def _mllib_spmm(v: Views) -> DataFrame:
+    rows, inner = _extent(v.part_supplier)
+    return mllib.spmm(v.part_supplier, v.b_dense.where(F.col("row") < inner), rows, inner, 4)
+
+
+register("mllib_spmv", _mllib_spmv, "A x", SPMV.format(m="A", v="x"))
+register("mllib_spmm", _mllib_spmm, "A B", SPMM.format(a="A", b="B") + " HAVING SUM(A.value * B.value) <> 0")
+register("contract_spmv", lambda v: LayoutOperations("csc").spmv(layout.pack(v.part_supplier, "csc"), v.x_dense), "A x", SPMV.format(m="A", v="x"))
+register("contract_spmv_sparse", lambda v: LayoutOperations("csr").spmv_sparse(layout.pack(v.part_supplier, "csr"), v.x_sparse), "A xs", SPMV.format(m="A", v="xs"))
+register("contract_spmm_dense", lambda v: LayoutOperations("csr").spmm_dense(layout.pack(v.part_supplier, "csr"), v.b_dense), "A B", SPMM.format(a="A", b="B"))
+register("contract_spmm_sparse", lambda v: LayoutOperations().spmm_sparse(v.graph, v.graph), "G", (SPMM + KEEP).replace("{b}", "H").replace("{a}", "G").replace("JOIN H", "JOIN G H"))
