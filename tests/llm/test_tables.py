@@ -115,6 +115,24 @@ def test_graph_search_finds_the_nearest_centroid():
     assert (lists[:, 0] == ids[:, 0]).mean() > 0.95 and (lists[:, 1:] >= 0).any()
 
 
+def test_results_of_blocks_merge(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n, top = 4000, 3
+    found = []
+    for _ in range(4):
+        quid, uid = rng.integers(0, 40, n), rng.integers(0, 60, n)
+        name = uid // 2  # names repeat, and the score depends on the pair alone
+        found.append((quid, quid + 100, uid, name, quid < 0, uid % 7 == 0, ((quid * 31 + name * 17) % 11) / 11))
+    got = neighbours._merged(found, top)
+    pairs = {(int(q), int(u)): (-float(s), bool(m), int(k), int(u)) for f in found for q, u, k, m, s in zip(f[0], f[2], f[3], f[5], f[6], strict=True)}
+    wanted = {q: sorted(v for (p, _), v in pairs.items() if p == q)[:top] for q in range(40)}
+    mine = {}
+    for q, u, k, m, s in zip(got[0], got[2], got[3], got[5], got[6], strict=True):
+        mine.setdefault(int(q), []).append((-float(s), bool(m), int(k), int(u)))
+    assert mine == wanted and (got[1] == got[0] + 100).all()
+    assert all(len(c) == 0 for c in neighbours._merged([tuple(c[:0] for c in found[0])], top))
+
+
 # Conversations.
 def turns(spark, rows):
     return spark.createDataFrame([(*r, "x", 3) for r in rows], "conv_id long, turn long, role string, text string, size string, place int")
