@@ -20,6 +20,7 @@ import math
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -67,8 +68,13 @@ class Pieces:
         for p in self.weight:
             points = np.frombuffer(p.encode("utf-32-le"), dtype="<u4")
             self.pairs[pair_slots(points)] = True
-        #: every proper beginning of a piece that is none itself stops no search
-        self.begun: dict[str, tuple[float, int] | None] = {p[:n]: None for p in self.weight for n in range(1, len(p))} | self.weight
+        #: by character: the trie that goes on after it, and the piece (weight, id) that ends there or None
+        self.trie: dict[str, tuple[dict, tuple[float, int] | None]] = {}
+        for p in sorted(self.weight):  # a piece comes before those that go on from it
+            trie = self.trie
+            for c in p[:-1]:
+                trie = trie.setdefault(c, ({}, None))[0]
+            trie[p[-1]] = ({}, self.weight[p])
         self.bytes_of: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.weight.items()} | {i: bytes([b]) for b, i in self.byte.items()}
 
         self.sizes = np.zeros(model.get_piece_size(), dtype=np.int64)
@@ -77,15 +83,17 @@ class Pieces:
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.letters = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.sizes))), dtype=np.uint8)
 
-    def spells(self, ids: np.ndarray, text: str) -> bool:
-        """Whether ids decode to the text, byte for byte."""
-        raw = text.encode("utf-8", "surrogatepass")
+    def spelled(self, ids: np.ndarray, ends: list[int], owner: list[int], texts: list[str]) -> list[bool]:
+        """Whether each sample decodes to its text, byte for byte; sample n has ids[ends[n]:ends[n + 1]] of text owner[n]."""
         sizes = self.sizes[ids]
-        total = int(sizes.sum())
-        if total != len(raw) + bool(len(ids)):
-            return False
-        at = np.repeat(self.offsets[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-        return self.letters[at].tobytes() == (b" " if len(ids) else b"") + raw
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        kind = np.int32 if upto[-1] < 2**31 else np.int64
+        at = np.repeat((self.offsets[ids] - upto[:-1]).astype(kind), sizes)
+        at += np.arange(len(at), dtype=kind)
+        decoded = self.letters[at].tobytes()
+        raws = [(" " + t if t else "").encode("utf-8", "surrogatepass") for t in texts]
+        bounds = upto[ends].tolist()
+        return [decoded[a:b] == raws[n] for a, b, n in zip(bounds[:-1], bounds[1:], owner, strict=True)]
 
     def units(self, texts: list[str]) -> tuple[list[str], list[int]]:
         """The units of all texts and the bounds of each text's; a text gets one space before it, as the library does."""
@@ -120,16 +128,22 @@ class Lattices:
         self.first = array("q", [0])
         self.share, self.target, self.piece = array("d"), array("q"), array("i")
 
-    def nodes_of(self, units: list[str]) -> list[int]:
+    def nodes_of(self, units: list[str]) -> np.ndarray:
         """The first node of each unit's lattice."""
         node = self.node
-        long = {}
-        for unit in set(units).difference(node):
-            if len(unit) <= PLAIN:
-                self._add(unit)
+        nodes = np.fromiter(map(node.get, units, repeat(-1)), dtype=np.int64, count=len(units))  # most units are known
+        long: dict[str, int] = {}
+        for k in np.flatnonzero(nodes < 0).tolist():
+            unit = units[k]
+            if len(unit) > PLAIN:
+                if unit not in long:
+                    long[unit] = self._add_long(unit)
+                nodes[k] = long[unit]
             else:
-                long[unit] = self._add_long(unit)
-        return [node[u] if len(u) <= PLAIN else long[u] for u in units] if long else list(map(node.__getitem__, units))
+                if unit not in node:
+                    self._add(unit)
+                nodes[k] = node[unit]
+        return nodes
 
     def _new(self, beta: float, shares: list[float], targets: list[int], pieces: list[int]) -> int:
         self.share.extend(shares)
@@ -146,7 +160,8 @@ class Lattices:
         return after
 
     def _add(self, unit: str) -> None:
-        begun, longest, node, beta = self.pieces.begun, self.pieces.longest, self.node, self.beta
+        trie, weight, node, beta = self.pieces.trie, self.pieces.weight, self.node, self.beta
+        share, target, piece = self.share, self.target, self.piece
         n = len(unit)
         at, ahead = [-1] * (n + 1), [1.0] * (n + 1)
         for i in range(n - 1, -1, -1):
@@ -156,37 +171,42 @@ class Lattices:
                 at[i], ahead[i] = known, beta[known]
                 continue
             weights, targets, pieces = [], [], []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                found = begun.get(unit[i:j], False)
-                if found is False:
+            step = trie
+            for j, c in enumerate(end, i + 1):
+                if c not in step:
                     break
-                if found is not None:
+                step, found = step[c]
+                if found:
                     weights.append(found[0] * ahead[j])
                     targets.append(at[j])
                     pieces.append(found[1])
-            if unit[i] not in self.pieces.weight:  # the character is no piece: its bytes are
+            if unit[i] not in weight:  # the character is no piece: its bytes are
                 raw = unit[i].encode("utf-8", "surrogatepass")
                 weights.insert(0, self.pieces.byte_weight ** len(raw) * ahead[i + 1])
                 targets.insert(0, self._spell(raw, at[i + 1]))
                 pieces.insert(0, self.pieces.byte[raw[0]])
             total = ahead[i] = sum(weights)
             if len(weights) > 1:
-                weights.reverse()
-                targets.reverse()
-                pieces.reverse()
-                node[end] = at[i] = self._new(total, [w / total for w in weights], targets, pieces)
+                share.extend([w / total for w in reversed(weights)])
+                target.extend(reversed(targets))
+                piece.extend(reversed(pieces))
             else:
-                node[end] = at[i] = self._new(total, [1.0], targets, pieces)
+                share.append(1.0)
+                target.append(targets[0])
+                piece.append(pieces[0])
+            self.first.append(len(share))
+            node[end] = at[i] = len(beta)
+            beta.append(total)
 
     def _add_long(self, unit: str) -> int:
         """The same in logarithms, without sharing."""
-        begun, longest = self.pieces.begun, self.pieces.longest
+        weight, longest = self.pieces.weight, self.pieces.longest
         n = len(unit)
         at, logs = [-1] * (n + 1), [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
             row = []
             for j in range(min(n, i + longest), i, -1):
-                found = begun.get(unit[i:j])
+                found = weight.get(unit[i:j])
                 if found is not None:
                     row.append((math.log(found[0]) + logs[j], at[j], found[1]))
             if unit[i] not in self.pieces.weight:
@@ -365,7 +385,7 @@ def sample_block(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> I
     if len(lat.share) > KEPT_EDGES:
         lat.clear()
     units, bounds = lat.pieces.units(texts)
-    start = np.array(lat.nodes_of(units), dtype=np.int64)
+    start = lat.nodes_of(units)
     a = _Arrays(lat)
     sizes = np.diff(bounds)
     # the first sample of every text in one go; units are numbered inside their text for the noise
@@ -417,21 +437,25 @@ def sample(docs: DataFrame, model: str, k: int = 2, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = _workers.get(model) or _workers.setdefault(model, Lattices(Pieces(model)))
-        spells = lat.pieces.spells
         for batch, texts in text_chunks(batches):
             seeds = [s & (2**64 - 1) for s in batch.column(1).to_pylist()]
-            rows, found = [], []
-            for n, (t, (ids, logs, scores, inclusion)) in enumerate(zip(texts, sample_block(lat, texts, seeds, k), strict=True)):
-                for r, (i, lp, s, p) in enumerate(zip(ids, logs, scores, inclusion, strict=True)):
-                    rows.append((n, r + 1, len(i), lp, s, p, zlib.crc32(i.astype("<u4").tobytes()), spells(i, t)))
-                    found.append(i)
-            cols = list(zip(*rows, strict=True))
-            keys = batch.column(0).take(pa.array(cols[0], pa.int32()))
+            owner, number, logs, scores, inclusion, found = [], [], [], [], [], []
+            for n, (ids, *figures) in enumerate(sample_block(lat, texts, seeds, k)):
+                owner.extend([n] * len(ids))
+                number.extend(range(1, len(ids) + 1))
+                for column, more in zip((logs, scores, inclusion), figures, strict=True):
+                    column.extend(more)
+                found.extend(ids)
+            flat = np.concatenate(found).astype("<i4", copy=False)
+            ends = np.cumsum([0, *map(len, found)])
+            bounds, raw = ends.tolist(), memoryview(flat).cast("B")
+            checks = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            cols = (number, np.diff(ends), logs, scores, inclusion, checks, lat.pieces.spelled(flat, bounds, owner, texts))
+            keys = batch.column(0).take(pa.array(owner, pa.int32()))
             types = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()]
-            made = [pa.array(c, t) for c, t in zip(cols[1:], types, strict=True)]
+            made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
             if with_ids:
-                ends = np.cumsum([0, *cols[2]], dtype=np.int32)
-                made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32, copy=False))))
+                made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
             yield pa.RecordBatch.from_arrays([keys, *made], names=["key", *names])
 
     names = ["sample", "n_pieces", "log_prob", "score", "inclusion", "ids_crc32", "round_trip"] + (["ids"] if with_ids else [])
