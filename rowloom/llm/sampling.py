@@ -36,6 +36,8 @@ PAIRS = 1 << 21
 KEPT_EDGES = 9_000_000
 #: Units up to this length are summed in plain numbers, longer ones in logarithms.
 PLAIN = 40
+#: Code points whose units are looked up at once.
+BLOCK = 1 << 20
 #: Weight of the piece of rank r: 1 / (r + RANK_SHIFT), as in Zipf's law; of a byte piece: BYTE_WEIGHT.
 RANK_SHIFT, BYTE_WEIGHT = 2.7, 1e-5
 
@@ -95,19 +97,19 @@ class Pieces:
         bounds = upto[ends].tolist()
         return [decoded[a:b] == raws[n] for a, b, n in zip(bounds[:-1], bounds[1:], owner, strict=True)]
 
-    def units(self, texts: list[str]) -> tuple[list[str], list[int]]:
-        """The units of all texts and the bounds of each text's; a text gets one space before it, as the library does."""
+    def units(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, list[int]]:
+        """All texts in one string, its code points, the bounds of its units, and the number of each text's first unit; a
+        text gets one space before it, as the library does."""
         marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
         whole = "".join(marked)
-        if not whole:
-            return [], [0] * (len(texts) + 1)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        if not whole:
+            return whole, points, np.zeros(1, dtype=np.int64), [0] * (len(texts) + 1)
         cut = np.concatenate(([True], ~self.pairs[pair_slots(points)], [True]))
         ends = np.cumsum([0] + [len(m) for m in marked])
         cut[ends] = True
         places = np.flatnonzero(cut)
-        at = places.tolist()
-        return [whole[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], np.searchsorted(places, ends).tolist()
+        return whole, points, places, np.searchsorted(places, ends).tolist()
 
     def decode(self, ids) -> str:
         """The text of a list of ids; the space put before a text is taken off."""
@@ -128,6 +130,24 @@ class Lattices:
         self.first = array("q", [0])
         self.share, self.target, self.piece = array("d"), array("q"), array("i")
 
+    def starts(self, whole: str, points: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The first node of the lattice of each unit between two places; each distinct one of a block is looked up once."""
+        out, begin = np.empty(len(places) - 1, dtype=np.int64), 0
+        while begin < len(out):
+            end = max(begin + 1, int(np.searchsorted(places, places[begin] + BLOCK, side="right")) - 1)
+            at, part = places[begin : end + 1] - places[begin], points[places[begin] : places[end]]
+            sizes = np.diff(at)
+            inside = np.arange(len(part)) - np.repeat(at[:-1], sizes)
+            names = np.add.reduceat(_mix((inside.astype(np.uint64) << np.uint64(21)) | part.astype(np.uint64)), at[:-1])
+            _, first, which = np.unique(names, return_index=True, return_inverse=True)
+            like = first[which]
+            if (sizes != sizes[like]).any() or (part != part[np.repeat(at[like], sizes) + inside]).any():
+                first = which = np.arange(len(sizes))  # two units have one name
+            bounds = zip(places[begin + first].tolist(), places[begin + first + 1].tolist(), strict=True)
+            out[begin:end] = self.nodes_of([whole[a:b] for a, b in bounds])[which]
+            begin = end
+        return out
+
     def nodes_of(self, units: list[str]) -> np.ndarray:
         """The first node of each unit's lattice."""
         node = self.node
@@ -384,8 +404,8 @@ def sample_block(lat: Lattices, texts: list[str], seeds: list[int], k: int) -> I
     """For each text: ids, log-probabilities, perturbed scores and inclusion scores of its samples, best first."""
     if len(lat.share) > KEPT_EDGES:
         lat.clear()
-    units, bounds = lat.pieces.units(texts)
-    start = lat.nodes_of(units)
+    whole, points, places, bounds = lat.pieces.units(texts)
+    start = lat.starts(whole, points, places)
     a = _Arrays(lat)
     sizes = np.diff(bounds)
     # the first sample of every text in one go; units are numbered inside their text for the noise

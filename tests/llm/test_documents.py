@@ -276,6 +276,17 @@ def test_every_path_is_emitted_once_and_then_none(lattices):
     assert math.fsum(map(math.exp, logs)) == pytest.approx(1) and set(inclusion) == {1.0}
 
 
+def test_units_are_found_in_blocks_and_under_equal_names(lattices, monkeypatch):
+    texts = ["the cat sat on the mat", "", "a cat, 猫 and the 😀 hat", "the cat sat on the mat"]
+    found = lattices.pieces.units(texts)[:3]
+    want = lattices.starts(*found)
+    assert len(want) == len(found[2]) - 1 and len(lattices.starts(*lattices.pieces.units(["", ""])[:3])) == 0
+    monkeypatch.setattr(sampling, "BLOCK", 5)
+    assert (lattices.starts(*found) == want).all()
+    monkeypatch.setattr(sampling, "_mix", lambda x: np.zeros_like(x))  # all units of a block have one name
+    assert (lattices.starts(*found) == want).all()
+
+
 def test_sampling_round_trips(spark, odd_docs, no_docs):
     texts = ["Hello  world \n foo\tbar", " leading and trailing ", "日本語😀\U0001f469‍\U0001f4bb", "x" * 500, "a", " ", "", None]
     got = sampling.sample(docs(spark, texts), PIECES, 3)
