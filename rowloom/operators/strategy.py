@@ -32,6 +32,8 @@ BROADCAST_ROWS = 8_000_000
 #: The row kernel holds the whole vector as one array up to this length.
 ROW_KERNEL_SIZE = 1_000_000
 BLOCK = 100
+#: Entries of one tile, and products of a pair of tiles held at once.
+TILE_ENTRIES, PRODUCTS = 1 << 16, 1 << 20
 
 
 def _name(strategy: str, table: dict, layout: str) -> str:
@@ -168,38 +170,49 @@ def spmm(a: DataFrame, b: DataFrame, layout: str = "coo", strategy: str = "adapt
 
 
 def _tiles(df: DataFrame, outer: str, inner: str, prefix: str, block: int) -> DataFrame:
-    """One record for each tile that has entries."""
-    tile = df.groupBy(F.expr(f"{outer} div {block}L").alias(f"{prefix}_outer"), F.expr(f"{inner} div {block}L").alias("inner_block"))
-    entry = F.struct(F.expr(f"cast({outer} % {block} as int)").alias("o"), F.expr(f"cast({inner} % {block} as int)").alias("i"), "value")
-    packed = tile.agg(F.collect_list(entry).alias("e"))
-    return packed.select(f"{prefix}_outer", "inner_block", F.col("e.o").alias(f"{prefix}_o"), F.col("e.i").alias(f"{prefix}_i"), F.col("e.value").alias(f"{prefix}_v"))
+    """One record for each strip of block inner indices, or several of about TILE_ENTRIES for a strip that has more.
+
+    Narrower tiles would hold about one entry each in a sparse matrix, and as many pairs as it has products would meet.
+    """
+    strip = F.expr(f"{inner} div {block}L").alias("inner_block")
+    parts = df.groupBy(strip).agg(F.ceil(F.count(F.lit(1)) / TILE_ENTRIES).alias("parts"))
+    entry = F.struct(F.col(outer).alias("o"), F.expr(f"cast({inner} % {block} + {block} as int)").alias("i"), F.col("value").alias("v"))
+    dealt = df.select(strip, F.expr(f"{outer} div {block}L").alias("outer_block"), entry.alias("e")).join(parts, "inner_block")
+    tile = dealt.groupBy("inner_block", F.expr("pmod(xxhash64(outer_block), parts)").alias("part"))
+    return tile.agg(F.collect_list("e").alias(prefix)).select("inner_block", prefix)
 
 
 def _spmm_tiles(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Joins tiles on the inner block and multiplies each pair of tiles as small dense matrices in numpy."""
-    pairs = _tiles(a, "row", "col", "a", block).join(_tiles(b, "col", "row", "b", block), "inner_block")
+    """Joins tiles on the inner block; the products of a pair of tiles are summed by cell before they move."""
+    pairs = _tiles(a, "row", "col", "a", block).join(_tiles(b, "col", "row", "b", block), "inner_block").select("a", "b")
 
     def multiply(batches):
         import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            rows, cols, values = [], [], []
-            for t in pdf.itertuples(index=False):
-                left, right = np.zeros((block, block)), np.zeros((block, block))
-                has_left, has_right = np.zeros((block, block)), np.zeros((block, block))
-                np.add.at(left, (t.a_o, t.a_i), t.a_v)
-                np.add.at(right, (t.b_i, t.b_o), t.b_v)
-                has_left[t.a_o, t.a_i] = 1
-                has_right[t.b_i, t.b_o] = 1
-                r, c = np.nonzero(has_left @ has_right)
-                rows.append(r + t.a_outer * block)
-                cols.append(c + t.b_outer * block)
-                values.append((left @ right)[r, c])
-            if rows:
-                yield pd.DataFrame({"row": np.concatenate(rows), "col": np.concatenate(cols), "value": np.concatenate(values)})
-
-    products = pairs.mapInPandas(multiply, "row long, col long, value double")
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right = (batch.column(c).slice(k, 1).flatten() for c in (0, 1))
+                (row, li, lv), (col, ri, rv) = left.flatten(), right.flatten()
+                order = np.argsort(ri.to_numpy(), kind="stable")
+                sizes = np.bincount(ri.to_numpy(), minlength=2 * block)  # remainders of negative indices come first
+                first, li = np.cumsum(sizes) - sizes, li.to_numpy()
+                upto = np.concatenate(([0], np.cumsum(sizes[li])))
+                begin = 0
+                while begin < len(li):  # entries of the left tile with about PRODUCTS products, at least one
+                    end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + PRODUCTS, side="right")) - 1)
+                    n = sizes[li[begin:end]]
+                    at = np.repeat(np.arange(begin, end), n)
+                    to = order[np.arange(len(at)) + np.repeat(first[li[begin:end]] - (upto[begin:end] - upto[begin]), n)]
+                    begin = end
+                    if len(at):
+                        products = pc.multiply(lv.take(pa.array(at)), rv.take(pa.array(to)))
+                        cells = pa.table({"row": row.take(pa.array(at)), "col": col.take(pa.array(to)), "value": products})
+                        summed = cells.group_by(["row", "col"], use_threads=False).aggregate([("value", "sum")])
+                        yield from summed.select(["row", "col", "value_sum"]).rename_columns(["row", "col", "value"]).to_batches()
+
+    products = pairs.mapInArrow(multiply, "row long, col long, value double")
     return products.groupBy("row", "col").agg(F.sum("value").alias("value"))
 
 

@@ -237,3 +237,18 @@ def test_mllib_spmv_keeps_index_and_product_together_and_leaves_unmatched_rows_o
     # a zip of two evaluations of a shuffle pairs other rows wherever blocks arrive in another order
     frame = mllib._coordinates(a, 4, 4).toIndexedRowMatrix().rows
     assert "Zipped" not in out.rdd._jrdd.rdd().toDebugString() and "ShuffledRDD" in frame._jrdd.rdd().toDebugString()
+
+
+def test_block_strategy_pairs_few_tiles_and_cuts_full_strips(spark, monkeypatch):
+    """A tile of 100 by 100 cells for each entry of a sparse matrix made 2,500 pairs of these 100 entries."""
+    scattered = coo(spark, [(k * 1000, k % 2, float(k)) for k in range(50)] + [(-5, -1, 1.0), (None, 1, 2.0), (3, 0, None), (3, 500, 1.0), (7, None, 1.0)])
+    right = coo(spark, [(k % 2, k * 1000, 1.0 + k) for k in range(50)] + [(-1, 4, 2.0), (500, 9, float("nan")), (None, 3, 1.0)])
+    seen = lambda df: sorted(map(repr, df.collect()))
+    for zeros in (False, True):
+        want = seen(strategy.spmm(scattered, right, "coo", "baseline", zeros))
+        assert seen(strategy.spmm(scattered, right, "coo", "block", zeros)) == want
+    assert [r.n for r in strategy._tiles(scattered, "row", "col", "a", 100).selectExpr("size(a) n").orderBy("n").collect()] == [1, 53]
+    monkeypatch.setattr(strategy, "TILE_ENTRIES", 7)
+    monkeypatch.setattr(strategy, "PRODUCTS", 10)
+    assert seen(strategy.spmm(scattered, right, "coo", "block", True)) == want
+    assert strategy._tiles(scattered, "row", "col", "a", 100).count() > 5
