@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,13 +94,95 @@ def k_hop_reachability(edges: DataFrame, hops: int) -> DataFrame:
 
 
 def item_similarity(ratings: DataFrame, upper_only: bool = False) -> DataFrame:
-    """A^T A over (user, item, rating): the products of ratings that share a user, summed for each pair of items."""
-    a = ratings.select(F.col("user"), F.col("item").alias("item_a"), F.col("rating").alias("ra"))
-    b = ratings.select(F.col("user"), F.col("item").alias("item_b"), F.col("rating").alias("rb"))
-    pairs = a.join(b, "user")
-    if upper_only:
-        pairs = pairs.where("item_a < item_b")
-    return pairs.groupBy("item_a", "item_b").agg(F.sum(F.col("ra") * F.col("rb")).alias("similarity"))
+    """A^T A over (user, item, rating): the products of ratings that share a user, summed for each pair of items.
+
+    Users of near numbers share a task, which sums the products of all its users before they move: there are as many
+    products as pairs of a user's ratings, but often few pairs of items. Ratings without a user join nothing.
+    """
+    spark = ratings.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    rated = ratings.where("user is not null").select("user", F.col("item").cast("long"), F.col("rating").cast("double"))
+    sorted_users = rated.repartitionByRange(parts, "user").sortWithinPartitions("user")
+    sums = sorted_users.mapInArrow(lambda batches: pair_sums(batches, upper_only), "item_a long, item_b long, similarity double")
+    return sums.repartition("item_a", "item_b").groupBy("item_a", "item_b").agg(F.sum("similarity").alias("similarity"))
+
+
+#: Ratings taken at once, products held at once, and items whose sums a task holds as a square (64 MB and a byte a cell).
+RATINGS, PRODUCTS, SQUARE = 1 << 17, 1 << 19, 2896
+
+
+def pair_sums(batches: Iterator[pa.RecordBatch], upper_only: bool = False) -> Iterator[pa.RecordBatch]:
+    """(item_a, item_b, sum of products) over ratings sorted by user; a pair of items may come more than once.
+
+    Sums are held in a square over the items met, which is given out and begun anew when it gets too wide. Ratings with
+    nulls, or of too many items, are summed for PRODUCTS products at a time.
+    """
+    names = ["item_a", "item_b", "similarity"]
+    items, sums, seen = np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros((0, 0), bool)
+
+    def out(cells: pa.Table) -> Iterator[pa.RecordBatch]:
+        cells = cells.filter(pc.less(cells["item_a"], cells["item_b"])) if upper_only else cells
+        yield from cells.to_batches(max_chunksize=1 << 16)
+
+    def held() -> Iterator[pa.RecordBatch]:
+        step = max(1, PRODUCTS // max(1, len(items)))
+        for top in range(0, len(items), step):
+            x, y = np.nonzero(seen[top : top + step])
+            yield from out(pa.table([items[x + top], items[y], sums[x + top, y]], names=names))
+
+    for user, item, rating in whole_users(batches):
+        sizes = np.diff(np.concatenate(([0], np.flatnonzero(user[1:] != user[:-1]) + 1, [len(user)])))
+        n = np.repeat(sizes, sizes)  # by rating: how many its user has, and where they begin
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        upto = np.concatenate(([0], np.cumsum(n)))
+        square = not (item.null_count or rating.null_count)
+        if square:
+            found = np.unique(item.to_numpy())
+            both = np.union1d(items, found)
+            if len(both) > SQUARE:
+                yield from held()
+                items, sums, seen = np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros((0, 0), bool)
+                both, square = found, len(found) <= SQUARE
+            if square and len(both) > len(items):
+                at = np.ix_(*[np.searchsorted(both, items)] * 2)
+                wider, more = np.zeros((len(both), len(both))), np.zeros((len(both), len(both)), bool)
+                wider[at], more[at] = sums, seen
+                items, sums, seen = both, wider, more
+            if square:
+                place, values = np.searchsorted(items, item.to_numpy()), rating.to_numpy()
+        begin = 0
+        while begin < len(n):  # ratings with about PRODUCTS products, at least one rating
+            end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + PRODUCTS, side="right")) - 1)
+            a = np.repeat(np.arange(begin, end), n[begin:end])
+            b = np.arange(len(a)) + np.repeat(first[begin:end] - (upto[begin:end] - upto[begin]), n[begin:end])
+            begin = end
+            if square:
+                cell = place[a] * len(items) + place[b]
+                with np.errstate(invalid="ignore"):  # infinity times zero is NaN, as in SQL
+                    np.add.at(sums.reshape(-1), cell, values[a] * values[b])
+                seen.reshape(-1)[cell] = True
+            else:
+                a, b = pa.array(a), pa.array(b)
+                cells = pa.table([item.take(a), item.take(b), pc.multiply(rating.take(a), rating.take(b))], names=names)
+                yield from out(cells.group_by(names[:2], use_threads=False).aggregate([(names[2], "sum")]).select([*names[:2], "similarity_sum"]).rename_columns(names))
+    yield from held()
+
+
+def whole_users(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
+    """Users as numbers, items and ratings of about RATINGS rows, or of one user that has more."""
+    waiting, rows = [], 0
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            waiting.append(batch)
+            rows += batch.num_rows
+        if not rows or batch is not None and rows < RATINGS:
+            continue
+        part = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+        user = part.column(0).to_numpy(zero_copy_only=False)
+        cut = rows if batch is None else int(np.searchsorted(user, user[-1]))  # the last user may go on
+        if cut:
+            yield user[:cut], part.column(1).slice(0, cut), part.column(2).slice(0, cut)
+        waiting, rows = [part.slice(cut)] if cut < rows else [], rows - cut
 
 
 def recommend(m: Matrix, v: DataFrame) -> DataFrame:

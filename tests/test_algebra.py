@@ -252,3 +252,37 @@ def test_block_strategy_pairs_few_tiles_and_cuts_full_strips(spark, monkeypatch)
     monkeypatch.setattr(strategy, "PRODUCTS", 10)
     assert seen(strategy.spmm(scattered, right, "coo", "block", True)) == want
     assert strategy._tiles(scattered, "row", "col", "a", 100).count() > 5
+
+
+def test_item_similarity_sums_products_before_they_move(spark, monkeypatch):
+    """The products of all pairs of a user's ratings were moved: 16 for each of these 300 users, now 16 a task."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    same = spark.range(300).selectExpr("id AS user", "explode(sequence(0L, 3L)) AS item").selectExpr("user", "item", "CAST(user + item AS double) AS rating")
+    out = iterative.item_similarity(same.coalesce(1))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    moved = list(iterative.pair_sums(iter(same.orderBy("user").toArrow().to_batches(max_chunksize=7))))
+    assert sum(b.num_rows for b in moved) == 16
+
+    rng = random.Random(5)
+    rows = [(u, i, float(rng.randint(-5, 5))) for u in range(60) for i in rng.sample(range(-20, 40), rng.randint(1, 12))]
+    odd = [(None, 3, 1.0), (7, None, 2.0), (8, 1000, None), (9, 2**62, float("nan")), (10, 2**62 + 1, float("inf")), (11, 5, 0.5), (11, 5, 0.25)]
+    seen = lambda df: sorted(repr((r.item_a, r.item_b, None if r.similarity is None else r.similarity + 0.0)) for r in df.collect())
+    for data in (rows, rows + odd, [], odd[:1]):
+        ratings = spark.createDataFrame(data, "user long, item long, rating double")
+        a, b = (ratings.select("user", F.col("item").alias(f"item_{x}"), F.col("rating").alias(x)) for x in "ab")
+        joined = a.join(b, "user")
+        plain = lambda df: seen(df.groupBy("item_a", "item_b").agg(F.sum(F.col("a") * F.col("b")).alias("similarity")))
+        assert seen(iterative.item_similarity(ratings)) == plain(joined)
+        assert seen(iterative.item_similarity(ratings, upper_only=True)) == plain(joined.where("item_a < item_b"))
+        batches = lambda: ratings.where("user is not null").orderBy("user").toArrow().to_batches(max_chunksize=5)  # noqa: E731, B023
+        for name, value in (("RATINGS", 9), ("PRODUCTS", 7), ("SQUARE", 13)):
+            monkeypatch.setattr(iterative, name, value)
+            parts = [r for x in iterative.pair_sums(iter(batches())) for r in x.to_pylist()]
+            again = spark.createDataFrame([(r["item_a"], r["item_b"], r["similarity"]) for r in parts], "item_a long, item_b long, similarity double")
+            assert seen(again.groupBy("item_a", "item_b").agg(F.sum("similarity").alias("similarity"))) == plain(joined)
+        monkeypatch.undo()
