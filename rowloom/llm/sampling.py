@@ -70,13 +70,13 @@ class Pieces:
         for p in self.weight:
             points = np.frombuffer(p.encode("utf-32-le"), dtype="<u4")
             self.pairs[pair_slots(points)] = True
-        #: by character: the trie that goes on after it, and the piece (weight, id) that ends there or None
-        self.trie: dict[str, tuple[dict, tuple[float, int] | None]] = {}
+        #: by character: the trie that goes on after it, and weight and id of the piece that ends there (0 and -1: none)
+        self.trie: dict[str, tuple[dict, float, int]] = {}
         for p in sorted(self.weight):  # a piece comes before those that go on from it
             trie = self.trie
             for c in p[:-1]:
-                trie = trie.setdefault(c, ({}, None))[0]
-            trie[p[-1]] = ({}, self.weight[p])
+                trie = trie.setdefault(c, ({}, 0.0, -1))[0]
+            trie[p[-1]] = ({}, *self.weight[p])
         self.bytes_of: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.weight.items()} | {i: bytes([b]) for b, i in self.byte.items()}
 
         self.sizes = np.zeros(model.get_piece_size(), dtype=np.int64)
@@ -153,15 +153,15 @@ class Lattices:
         node = self.node
         nodes = np.fromiter(map(node.get, units, repeat(-1)), dtype=np.int64, count=len(units))  # most units are known
         long: dict[str, int] = {}
-        for k in np.flatnonzero(nodes < 0).tolist():
+        missing = np.flatnonzero(nodes < 0).tolist()
+        self._add([u for k in missing if len(u := units[k]) <= PLAIN])
+        for k in missing:
             unit = units[k]
             if len(unit) > PLAIN:
                 if unit not in long:
                     long[unit] = self._add_long(unit)
                 nodes[k] = long[unit]
             else:
-                if unit not in node:
-                    self._add(unit)
                 nodes[k] = node[unit]
         return nodes
 
@@ -179,44 +179,67 @@ class Lattices:
             after = self._new(0.0, [1.0], [after], [self.pieces.byte[b]])
         return after
 
-    def _add(self, unit: str) -> None:
-        trie, weight, node, beta = self.pieces.trie, self.pieces.weight, self.node, self.beta
-        share, target, piece = self.share, self.target, self.piece
-        n = len(unit)
-        at, ahead = [-1] * (n + 1), [1.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            end = unit[i:]
-            known = node.get(end)
-            if known is not None:
-                at[i], ahead[i] = known, beta[known]
-                continue
-            weights, targets, pieces = [], [], []
-            step = trie
-            for j, c in enumerate(end, i + 1):
-                if c not in step:
-                    break
-                step, found = step[c]
-                if found:
-                    weights.append(found[0] * ahead[j])
-                    targets.append(at[j])
-                    pieces.append(found[1])
-            if unit[i] not in weight:  # the character is no piece: its bytes are
-                raw = unit[i].encode("utf-8", "surrogatepass")
-                weights.insert(0, self.pieces.byte_weight ** len(raw) * ahead[i + 1])
-                targets.insert(0, self._spell(raw, at[i + 1]))
-                pieces.insert(0, self.pieces.byte[raw[0]])
-            total = ahead[i] = sum(weights)
-            if len(weights) > 1:
-                share.extend([w / total for w in reversed(weights)])
-                target.extend(reversed(targets))
-                piece.extend(reversed(pieces))
-            else:
-                share.append(1.0)
-                target.append(targets[0])
-                piece.append(pieces[0])
-            self.first.append(len(share))
-            node[end] = at[i] = len(beta)
-            beta.append(total)
+    def _add(self, units: list[str]) -> None:
+        """Lattices of units that may be known; edges are put together in lists and go into the arrays at the end."""
+        trie, byte, byte_weight, known, beta = self.pieces.trie, self.pieces.byte, self.pieces.byte_weight, self.node, self.beta
+        share: list[float] = []
+        target: list[int] = []
+        piece: list[int] = []
+        first: list[int] = []
+        before, node = len(self.share), known.get
+        for unit in units:
+            n = len(unit)
+            at, ahead = [-1] * (n + 1), [1.0] * (n + 1)
+            for i in range(n - 1, -1, -1):
+                end = unit[i:]
+                found = node(end)
+                if found is not None:
+                    at[i], ahead[i] = found, beta[found]
+                    continue
+                weights, targets, pieces = [], [], []
+                step, j, c = trie, i, unit[i]
+                if c not in trie or trie[c][2] < 0:  # the character is no piece: its bytes are
+                    raw, after = c.encode("utf-8", "surrogatepass"), at[i + 1]
+                    for b in reversed(raw[1:]):  # nodes for its second and later bytes
+                        share.append(1.0)
+                        target.append(after)
+                        piece.append(byte[b])
+                        first.append(before + len(share))
+                        after = len(beta)
+                        beta.append(0.0)
+                    weights.append(byte_weight ** len(raw) * ahead[i + 1])
+                    targets.append(after)
+                    pieces.append(byte[raw[0]])
+                for c in end:
+                    if c not in step:
+                        break
+                    step, weight, number = step[c]
+                    j += 1
+                    if weight:
+                        weights.append(weight * ahead[j])
+                        targets.append(at[j])
+                        pieces.append(number)
+                    if not step:
+                        break
+                if len(weights) > 1:
+                    total = sum(weights)
+                    weights.reverse()
+                    targets.reverse()
+                    pieces.reverse()
+                    share += [w / total for w in weights]
+                    target += targets
+                    piece += pieces
+                else:
+                    total = weights[0]
+                    share.append(1.0)
+                    target.append(targets[0])
+                    piece.append(pieces[0])
+                first.append(before + len(share))
+                ahead[i] = total
+                known[end] = at[i] = len(beta)
+                beta.append(total)
+        for kept, new in ((self.share, share), (self.target, target), (self.piece, piece), (self.first, first)):
+            kept.extend(new)
 
     def _add_long(self, unit: str) -> int:
         """The same in logarithms, without sharing."""

@@ -592,3 +592,15 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == {i for i, _ in clean} and any("[SECRET]" in t for _, t in clean)
     assert check_packing(packed, clean, 1024) <= 1.02 * -(-sum(r.length for r in packed) // 1024)
+
+
+def test_lattices_of_many_units_in_one_call_equal_those_of_single_ones():
+    pieces = sampling.Pieces(PIECES)
+    units = ["hello", "helloworld", "hello", "world", "\U0001f9ec", "a\U0001f9ecb", "o", "x" * (sampling.PLAIN + 1)]
+    together, single = sampling.Lattices(pieces), sampling.Lattices(pieces)
+    together._add(units[:-1])  # repeated units and common ends are built once
+    assert len(together.node) == len({u[i:] for u in units[:-1] for i in range(len(u))})
+    want = [int(single.nodes_of([u])[0]) for u in units]
+    assert together.nodes_of(units).tolist() == want
+    for name in ("beta", "first", "share", "target", "piece"):
+        assert getattr(together, name) == getattr(single, name)
