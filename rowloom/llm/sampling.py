@@ -10,8 +10,9 @@ samples wherever it is processed.
 
 No piece holds two characters that stand side by side in no piece, so there a text's lattice falls into a chain of
 units, mostly words and marks. A unit's lattice (conditional probability of each edge at each node, from the sums over
-all paths to the unit's end) is built once for each distinct unit that a worker meets, and steps of the search run
-over arrays of all units of a block of texts.
+all paths to the unit's end) is built once for each distinct unit that a worker meets. Units are known by a hash of
+their characters and compared with the text they were built from. Lattices of a block's new units are built together,
+and steps of the search run over arrays of all units of a block of texts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +33,64 @@ from rowloom.llm.common import text_chunks
 SPACE = "▁"
 #: Slots of the table of neighbouring characters; a shared slot only makes units longer.
 PAIRS = 1 << 21
-#: Edges of unit lattices that a worker keeps (about 70 bytes each with their nodes); beyond it the memory starts anew.
+#: Edges of unit lattices that a worker keeps (about 50 bytes each with their nodes); beyond it the memory starts anew.
 KEPT_EDGES = 9_000_000
-#: Units up to this length are summed in plain numbers, longer ones in logarithms.
-PLAIN = 40
+#: Units up to this length, and not less likely than this logarithm, are summed in plain numbers, others in logarithms.
+PLAIN, LEAST = 40, -600.0
 #: Code points whose units are looked up at once.
 BLOCK = 1 << 20
 #: Weight of the piece of rank r: 1 / (r + RANK_SHIFT), as in Zipf's law; of a byte piece: BYTE_WEIGHT.
 RANK_SHIFT, BYTE_WEIGHT = 2.7, 1e-5
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def pair_slots(points: np.ndarray) -> np.ndarray:
     """The slot of each pair of neighbouring code points."""
     return ((points[:-1] * np.uint32(0x9E3779B1)) ^ (points[1:] * np.uint32(0x85EBCA6B))) >> np.uint32(32 - (PAIRS - 1).bit_length())
 
 
+class _Numbers:
+    """Numbers from 0 for distinct 64-bit keys, in the order they came, found by an open hash table."""
+
+    def __init__(self):
+        self.keys, self.bits = array("Q"), 16
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key; -1 where there is none."""
+        if not self.keys:
+            return np.full(len(keys), -1, dtype=np.int64)
+        held, last = np.frombuffer(self.keys, dtype=np.uint64), len(self.slots) - 1
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.slots[at].astype(np.int64)
+        other = np.flatnonzero((held[found] != keys) & (found >= 0))
+        while len(other):
+            at[other] = step = (at[other] + 1) & last
+            found[other] = here = self.slots[step].astype(np.int64)
+            other = other[(held[here] != keys[other]) & (here >= 0)]
+        return found
+
+    def add(self, keys: np.ndarray) -> None:
+        """Takes distinct keys that have no number."""
+        number = len(self.keys)
+        self.keys.frombytes(keys.tobytes())
+        if 2 * len(self.keys) > len(self.slots):
+            self.bits, number = (2 * len(self.keys)).bit_length(), 0
+            self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        numbers, last = np.arange(number, len(self.keys), dtype=np.int32), len(self.slots) - 1
+        at = (np.frombuffer(self.keys, dtype=np.uint64)[number:] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(numbers):
+            free = np.flatnonzero(self.slots[at] < 0)
+            self.slots[at[free]] = numbers[free]  # of several for one slot one stays
+            left = np.flatnonzero(self.slots[at] != numbers)
+            numbers, at = numbers[left], (at[left] + 1) & last
+
+
 class Pieces:
     """A vocabulary as a unigram model: weights follow the pieces' ranks, since a BPE model has ranks for scores."""
 
@@ -70,13 +114,22 @@ class Pieces:
         for p in self.weight:
             points = np.frombuffer(p.encode("utf-32-le"), dtype="<u4")
             self.pairs[pair_slots(points)] = True
-        #: by character: the trie that goes on after it, and weight and id of the piece that ends there (0 and -1: none)
-        self.trie: dict[str, tuple[dict, float, int]] = {}
-        for p in sorted(self.weight):  # a piece comes before those that go on from it
-            trie = self.trie
-            for c in p[:-1]:
-                trie = trie.setdefault(c, ({}, 0.0, -1))[0]
-            trie[p[-1]] = ({}, *self.weight[p])
+        steps: dict[int, int] = {}  # states of the trie by state and character; 0 is its root
+        ends: dict[int, tuple[float, int]] = {}
+        for p, found in self.weight.items():
+            state = 0
+            for c in p:
+                state = steps.setdefault(state << 21 | ord(c), len(steps) + 1)
+            ends[state] = found
+        keys = np.fromiter(steps, dtype=np.uint64, count=len(steps))
+        self.steps = _Numbers()
+        self.steps.add(keys * _SPREAD)  # an odd factor: different keys stay different
+        #: by state: weight and id of the piece that ends there (0 and -1: none), and whether pieces go on from it
+        self.ends_weight, self.ends_piece = np.zeros(len(steps) + 1), np.full(len(steps) + 1, -1, dtype=np.int32)
+        self.goes_on = np.zeros(len(steps) + 1, dtype=bool)
+        self.goes_on[(keys >> np.uint64(21)).astype(np.int64)] = True
+        for state, (weight, number) in ends.items():
+            self.ends_weight[state], self.ends_piece[state] = weight, number
         self.bytes_of: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.weight.items()} | {i: bytes([b]) for b, i in self.byte.items()}
 
         self.sizes = np.zeros(model.get_piece_size(), dtype=np.int64)
@@ -85,6 +138,16 @@ class Pieces:
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.letters = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.sizes))), dtype=np.uint8)
 
+    def step(self, states: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The trie's state after each state and code point; 0 where no piece goes on so."""
+        return self.steps.find((states.astype(np.uint64) << np.uint64(21) | points) * _SPREAD) + 1
+
+    def alone(self, points: np.ndarray) -> np.ndarray:
+        """The logarithm of the weight of each code point's own piece, or of its bytes' pieces."""
+        weight = self.ends_weight[self.step(np.zeros(len(points), dtype=np.int64), points)]
+        sizes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        return np.where(weight > 0, np.log(np.where(weight > 0, weight, 1.0)), sizes * math.log(self.byte_weight))
+
     def spelled(self, ids: np.ndarray, ends: list[int], owner: list[int], texts: list[str]) -> list[bool]:
         """Whether each sample decodes to its text, byte for byte; sample n has ids[ends[n]:ends[n + 1]] of text owner[n]."""
         sizes = self.sizes[ids]
@@ -125,45 +188,62 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.node: dict[str, int] = {}
+        self.node = _Numbers()  # of the hashes of what is left of units; by its number:
+        self.begin, self.length = array("q"), array("i")  # where it stands in text
+        self.after, self.at = array("q"), array("q")  # the number without its first character, or -1, and its node
+        self.text = array("I")  # the code points of units as they were met
+        self.odd: dict[str, int] = {}  # nodes of units that are not found by hash
         self.beta = array("d")  # by node: the summed weight of all ways to the end; its logarithm in long units
         self.first = array("q", [0])
         self.share, self.target, self.piece = array("d"), array("q"), array("i")
 
     def starts(self, whole: str, points: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """The first node of the lattice of each unit between two places; each distinct one of a block is looked up once."""
+        """The first node of the lattice of each unit between two places."""
         out, begin = np.empty(len(places) - 1, dtype=np.int64), 0
         while begin < len(out):
             end = max(begin + 1, int(np.searchsorted(places, places[begin] + BLOCK, side="right")) - 1)
-            at, part = places[begin : end + 1] - places[begin], points[places[begin] : places[end]]
-            sizes = np.diff(at)
-            inside = np.arange(len(part)) - np.repeat(at[:-1], sizes)
-            names = np.add.reduceat(_mix((inside.astype(np.uint64) << np.uint64(21)) | part.astype(np.uint64)), at[:-1])
-            _, first, which = np.unique(names, return_index=True, return_inverse=True)
-            like = first[which]
-            if (sizes != sizes[like]).any() or (part != part[np.repeat(at[like], sizes) + inside]).any():
-                first = which = np.arange(len(sizes))  # two units have one name
-            bounds = zip(places[begin + first].tolist(), places[begin + first + 1].tolist(), strict=True)
-            out[begin:end] = self.nodes_of([whole[a:b] for a, b in bounds])[which]
+            a, b = int(places[begin]), int(places[end])
+            nodes, odd = self._find(points[a:b], places[begin : end + 1] - a)
+            for k in odd.tolist():
+                nodes[k] = self._odd(whole[places[begin + k] : places[begin + k + 1]])
+            out[begin:end] = nodes
             begin = end
         return out
 
     def nodes_of(self, units: list[str]) -> np.ndarray:
         """The first node of each unit's lattice."""
-        node = self.node
-        nodes = np.fromiter(map(node.get, units, repeat(-1)), dtype=np.int64, count=len(units))  # most units are known
-        long: dict[str, int] = {}
-        missing = np.flatnonzero(nodes < 0).tolist()
-        self._add([u for k in missing if len(u := units[k]) <= PLAIN])
-        for k in missing:
-            unit = units[k]
-            if len(unit) > PLAIN:
-                if unit not in long:
-                    long[unit] = self._add_long(unit)
-                nodes[k] = long[unit]
-            else:
-                nodes[k] = node[unit]
-        return nodes
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        return self.starts("".join(units), points, np.cumsum([0, *map(len, units)]))
+
+    def _add(self, units: list[str]) -> None:
+        """Lattices of units that may be known."""
+        self.nodes_of(units)
+
+    def _find(self, points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first node of the lattice of each unit at[k] .. at[k + 1], and the units that have to be found in other ways."""
+        sizes, place = np.diff(at), np.arange(len(points))
+        names = np.add.reduceat(_terms(points, np.repeat(at[1:], sizes) - place), at[:-1])
+        number = self.node.find(names)
+        missing = np.flatnonzero((number < 0) & (sizes <= PLAIN))
+        if len(missing):
+            new = _taken(points, at, missing[np.sort(np.unique(names[missing], return_index=True)[1])])
+            likely = np.add.reduceat(self.pieces.alone(new[0]), new[1][:-1]) > LEAST
+            self._build(*(new if likely.all() else _taken(*new, np.flatnonzero(likely))))
+            number[missing] = self.node.find(names[missing])
+        if not len(self.node):
+            return number, np.arange(len(number))
+        # a unit is known if its text is
+        known = (number >= 0) & (np.frombuffer(self.length, dtype=np.int32)[number] == sizes)
+        begin = np.where(known, np.frombuffer(self.begin, dtype=np.int64)[number], 0)
+        unlike = np.flatnonzero(np.frombuffer(self.text, dtype=np.uint32).take(np.repeat(begin - at[:-1], sizes) + place, mode="clip") != points)
+        known[np.searchsorted(at, unlike, side="right") - 1] = False
+        return np.frombuffer(self.at, dtype=np.int64)[number], np.flatnonzero(~known)
+
+    def _odd(self, unit: str) -> int:
+        """The first node of a unit that is long or very unlikely, or whose hash another text has."""
+        if unit not in self.odd:
+            self.odd[unit] = self._add_long(unit)
+        return self.odd[unit]
 
     def _new(self, beta: float, shares: list[float], targets: list[int], pieces: list[int]) -> int:
         self.share.extend(shares)
@@ -179,67 +259,107 @@ class Lattices:
             after = self._new(0.0, [1.0], [after], [self.pieces.byte[b]])
         return after
 
-    def _add(self, units: list[str]) -> None:
-        """Lattices of units that may be known; edges are put together in lists and go into the arrays at the end."""
-        trie, byte, byte_weight, known, beta = self.pieces.trie, self.pieces.byte, self.pieces.byte_weight, self.node, self.beta
-        share: list[float] = []
-        target: list[int] = []
-        piece: list[int] = []
-        first: list[int] = []
-        before, node = len(self.share), known.get
-        for unit in units:
-            n = len(unit)
-            at, ahead = [-1] * (n + 1), [1.0] * (n + 1)
-            for i in range(n - 1, -1, -1):
-                end = unit[i:]
-                found = node(end)
-                if found is not None:
-                    at[i], ahead[i] = found, beta[found]
-                    continue
-                weights, targets, pieces = [], [], []
-                step, j, c = trie, i, unit[i]
-                if c not in trie or trie[c][2] < 0:  # the character is no piece: its bytes are
-                    raw, after = c.encode("utf-8", "surrogatepass"), at[i + 1]
-                    for b in reversed(raw[1:]):  # nodes for its second and later bytes
-                        share.append(1.0)
-                        target.append(after)
-                        piece.append(byte[b])
-                        first.append(before + len(share))
-                        after = len(beta)
-                        beta.append(0.0)
-                    weights.append(byte_weight ** len(raw) * ahead[i + 1])
-                    targets.append(after)
-                    pieces.append(byte[raw[0]])
-                for c in end:
-                    if c not in step:
-                        break
-                    step, weight, number = step[c]
-                    j += 1
-                    if weight:
-                        weights.append(weight * ahead[j])
-                        targets.append(at[j])
-                        pieces.append(number)
-                    if not step:
-                        break
-                if len(weights) > 1:
-                    total = sum(weights)
-                    weights.reverse()
-                    targets.reverse()
-                    pieces.reverse()
-                    share += [w / total for w in weights]
-                    target += targets
-                    piece += pieces
-                else:
-                    total = weights[0]
-                    share.append(1.0)
-                    target.append(targets[0])
-                    piece.append(pieces[0])
-                first.append(before + len(share))
-                ahead[i] = total
-                known[end] = at[i] = len(beta)
-                beta.append(total)
-        for kept, new in ((self.share, share), (self.target, target), (self.piece, piece), (self.first, first)):
-            kept.extend(new)
+    def _build(self, points: np.ndarray, at: np.ndarray) -> None:
+        """Lattices of distinct units at[k] .. at[k + 1]; none if two texts have one hash."""
+        if not len(points):
+            return
+        sizes, place = np.diff(at), np.arange(len(points))
+        mirror = np.repeat(at[:-1] + at[1:] - 1, sizes) - place
+        back = points[mirror]  # each unit from its end; what is left at a place goes on to lower places
+        floor = np.repeat(at[:-1], sizes)
+        left = place - floor + 1
+        terms = _terms(back, left)
+        upto = np.cumsum(terms)
+        names = upto - np.repeat((upto - terms)[at[:-1]], sizes)
+        count, number = len(self.node), self.node.find(names)
+        new, old = np.flatnonzero(number < 0), np.flatnonzero(number >= 0)
+        _, first, which = np.unique(names[new], return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        own = new[first[order]]  # the place of each new one
+        fresh = rank[which]
+        number[new] = count + fresh
+        after = np.where(left > 1, np.concatenate(([-1], number[:-1])), -1)
+        # equal ones have equal first characters and go on to equal ones
+        if (back[own][fresh] != back[new]).any() or (after[own][fresh] != after[new]).any():
+            return
+        if len(old):
+            begin = np.frombuffer(self.begin, dtype=np.int64)[number[old]]
+            if (np.frombuffer(self.text, dtype=np.uint32)[begin] != back[old]).any() or (np.frombuffer(self.after, dtype=np.int64)[number[old]] != after[old]).any():
+                return
+
+        # every piece that begins at a new one, the shortest first
+        pieces, m = self.pieces, len(own)
+        owners, places, states = [], [], []
+        owner, to, state = np.arange(m), own, np.zeros(m, dtype=np.int64)
+        while len(owner):
+            state = pieces.step(state, back[to])
+            on = np.flatnonzero(state)
+            owner, to, state = owner[on], to[on] - 1, state[on]
+            ends = np.flatnonzero(pieces.ends_piece[state] >= 0)
+            owners.append(owner[ends])
+            places.append(to[ends])
+            states.append(state[ends])
+            on = np.flatnonzero(pieces.goes_on[state] & (to >= floor[own[owner]]))
+            owner, to, state = owner[on], to[on], state[on]
+        spelt = np.ones(m, dtype=bool)  # characters that are no pieces: their bytes are
+        spelt[owners[0]] = False
+        spelt = np.flatnonzero(spelt)
+        raws = [chr(c).encode("utf-8", "surrogatepass") for c in back[own[spelt]].tolist()]
+        extra = np.zeros(m, dtype=np.int64)  # nodes before its own for the second and later bytes
+        extra[spelt] = [len(r) - 1 for r in raws]
+        base = len(self.beta)
+        node = base - 1 + np.cumsum(1 + extra)
+
+        owner = np.concatenate([spelt, *owners])
+        order = np.argsort(-np.arange(len(owner)) + len(owner) * owner)  # by owner, the longest piece first
+        owner = owner[order]
+        to = np.concatenate([own[spelt] - 1, *places])[order]
+        states = np.concatenate(states)
+        weight = np.concatenate(([pieces.byte_weight ** len(r) for r in raws], pieces.ends_weight[states]))[order]
+        piece = np.concatenate((np.array([pieces.byte[r[0]] for r in raws], dtype=np.int32), pieces.ends_piece[states]))[order]
+        goal = np.where(to >= floor[own[owner]], number[to], -1)
+        old, fresh = np.flatnonzero((goal >= 0) & (goal < count)), goal >= count
+        target, ahead = np.full(len(owner), -1), np.ones(len(owner))
+        if len(old):
+            target[old] = np.frombuffer(self.at, dtype=np.int64)[goal[old]]
+            ahead[old] = np.frombuffer(self.beta, dtype=np.float64)[target[old]]
+        target[fresh] = node[goal[fresh] - count]
+
+        # sums of all ways to the end, by the length of what is left
+        sums = np.concatenate((np.zeros(m), ahead))
+        index = np.where(fresh, goal - count, m + np.arange(len(owner)))
+        length = left[own]
+        by = np.argsort(length[owner], kind="stable")
+        for x, y in pairwise(np.searchsorted(length[owner[by]], np.arange(1, sizes.max() + 2)).tolist()):
+            if x < y:
+                some = by[x:y]
+                begin = np.flatnonzero(np.diff(owner[some], prepend=-1))
+                sums[owner[some[begin]]] = np.add.reduceat(weight[some] * sums[index[some]], begin)
+        share = weight * sums[index] / sums[owner]
+        source = node[owner]
+        if len(spelt):
+            last = np.searchsorted(owner, spelt, side="right") - 1  # the bytes' edge is its owner's last one
+            more = [
+                (n - k, 1.0, n - k - 1 if k < len(raw) - 1 else goes, pieces.byte[raw[k]])
+                for n, raw, goes in zip(node[spelt].tolist(), raws, target[last].tolist(), strict=True)
+                for k in range(1, len(raw))
+            ]
+            target[last] = np.where(extra[spelt] > 0, node[spelt] - 1, target[last])
+            if more:
+                source, share, target, piece = (np.concatenate((a, np.array(b, dtype=a.dtype))) for a, b in zip((source, share, target, piece), zip(*more, strict=True), strict=True))
+                order = np.argsort(source, kind="stable")
+                source, share, target, piece = source[order], share[order], target[order], piece[order]
+        beta = np.zeros(int(node[-1]) + 1 - base)
+        beta[node - base] = sums[:m]
+        first = len(self.share) + np.cumsum(np.bincount(source - base, minlength=len(beta)))
+        self.node.add(names[own])
+        for kept, rows in (
+            (self.begin, len(self.text) + mirror[own]), (self.length, length.astype(np.int32)), (self.after, after[own]), (self.at, node),
+            (self.text, points.astype(np.uint32)), (self.beta, beta), (self.first, first), (self.share, share), (self.target, target), (self.piece, piece),
+        ):
+            kept.frombytes(rows.tobytes())
 
     def _add_long(self, unit: str) -> int:
         """The same in logarithms, without sharing."""
@@ -267,6 +387,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _terms(points: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """What each code point, with so many left of its unit, adds to the hash of what is left there."""
+    x = (left.astype(np.uint64) << np.uint64(21) | points) * _SPREAD
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _taken(points: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points and bounds of some units."""
+    sizes = np.diff(at)[which]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    return points[np.repeat(at[which] - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+
+
 _ALL = (1 << 64) - 1
 #: Sets the steps of one unit apart from those of all others.
 _UNIT = np.uint64(0xD6E8FEB86659FD93)
@@ -305,32 +439,33 @@ class _Arrays:
     def walk(self, start: np.ndarray, unit: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in start, edge) of one path from each node to its unit's end, in order; edges are drawn by their
         probability with noise named by the draw and the unit's number in its text."""
-        wheres, edges = [], []
-        at, node, step = np.arange(len(start)), start, 0
+        taken, counts = [], np.zeros(len(start), dtype=np.int64)
+        places = unit.astype(np.uint64) * _UNIT  # no two places of units of any length are alike
+        at, node = np.arange(len(start)), start
         while len(at):
             edge = self.first[node]
             last = self.first[node + 1] - 1
             choose = np.flatnonzero(edge < last)
             if len(choose):
-                who = at[choose]
-                u = _uniform(base[who], unit[who].astype(np.uint64) * _UNIT + np.uint64(step))  # no two places of units of any length are alike
-                while len(choose):  # likely edges come first: most stop at once
-                    here = edge[choose]
+                who, here, last = at[choose], edge[choose], last[choose]
+                u = _uniform(base[who], places[who] + np.uint64(len(taken)))
+                while True:  # likely edges come first: most stop at once
                     u = u - self.share[here]
-                    on = (u > 0) & (here < last[choose])
-                    choose, u = choose[on], u[on]
-                    edge[choose] += 1
-            wheres.append(at)
-            edges.append(edge)
+                    on = np.flatnonzero((u > 0) & (here < last))
+                    if not len(on):
+                        break
+                    choose, u, here, last = choose[on], u[on], here[on] + 1, last[on]
+                    edge[choose] = here
+            taken.append((at, edge))
+            counts[at] = len(taken)
             node = self.target[edge]
-            more = node >= 0
+            more = np.flatnonzero(node >= 0)
             at, node = at[more], node[more]
-            step += 1
-        if not wheres:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        where, edge = np.concatenate(wheres), np.concatenate(edges)
-        order = np.argsort(where, kind="stable")  # steps are already in order
-        return where[order], edge[order]
+        upto = np.cumsum(counts)
+        out, begin = np.empty(int(counts.sum()), dtype=np.int64), upto - counts
+        for step, (at, edge) in enumerate(taken):
+            out[begin[at] + step] = edge
+        return np.repeat(np.arange(len(start)), counts), out
 
     def node_of(self, edge: int) -> int:
         return int(np.searchsorted(self.first, edge, side="right")) - 1

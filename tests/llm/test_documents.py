@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -604,3 +605,41 @@ def test_lattices_of_many_units_in_one_call_equal_those_of_single_ones():
     assert together.nodes_of(units).tolist() == want
     for name in ("beta", "first", "share", "target", "piece"):
         assert getattr(together, name) == getattr(single, name)
+
+
+def test_new_units_are_built_together_without_steps_of_their_own():
+    """Calls made from Python do not grow with the number of units that are met."""
+    lattices, r = sampling.Lattices(sampling.Pieces(PIECES)), random.Random(8)
+
+    def calls(n):
+        units = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(n)]
+        whole, at, seen = "".join(units), np.arange(n + 1) * 9, []
+        points = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+        sys.setprofile(lambda _, event, __: seen.append(event) if event.endswith("call") else None)
+        try:
+            nodes = lattices.starts(whole, points, at)
+        finally:
+            sys.setprofile(None)
+        assert len(set(nodes.tolist())) == len(set(units))
+        return len(seen)
+
+    calls(10)
+    assert calls(4000) < 3 * calls(40)
+
+
+def test_units_of_one_name_keep_their_own_lattices(lattices, monkeypatch):
+    texts, names = ["the cat sat", "a hat, a cat", "odd 猫😀 ones", "the cat sat"], iter(range(10**6))
+    want = list(sampling.sample_block(lattices, texts, [1, 2, 3, 1], 4))
+    fresh, terms = sampling.Lattices(lattices.pieces), sampling._terms
+    for change in (lambda p, n: np.zeros(len(p), np.uint64), lambda p, n: terms(p, n) & np.uint64(3), lambda p, n: terms(p, n) + np.uint64(next(names) // 2)):
+        monkeypatch.setattr(sampling, "_terms", change)
+        for lat in (fresh, sampling.Lattices(lattices.pieces)):
+            for (ids, *figures), (ids_want, *figures_want) in zip(sampling.sample_block(lat, texts, [1, 2, 3, 1], 4), want, strict=True):
+                assert [i.tolist() for i in ids] == [i.tolist() for i in ids_want]
+                assert all(x == pytest.approx(y) for x, y in zip(figures, figures_want, strict=True))
+
+
+def test_units_too_unlikely_for_plain_numbers_are_summed_in_logarithms(lattices):
+    unit = "the" + "\U0001f9ec" * 30  # 120 bytes of about 1e-6 each
+    node, lat = int(lattices.nodes_of([unit])[0]), lattices
+    assert math.fsum(lat.share[lat.first[node] : lat.first[node + 1]]) == pytest.approx(1) and lat.first[node + 1] - lat.first[node] > 1
