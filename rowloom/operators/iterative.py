@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rowloom.model import Matrix, Vector
 from rowloom.operators import algebra
-from rowloom.session import drop_table, materialise, shared_dir
+from rowloom.session import drop_table, materialise, scratch_path, shared_dir
 
 #: Steps between checkpoints: plans of a few joins are cheaper to run whole than to write out.
 CUT_EVERY = 5
@@ -96,17 +97,130 @@ def k_hop_reachability(edges: DataFrame, hops: int) -> DataFrame:
 def item_similarity(ratings: DataFrame, upper_only: bool = False) -> DataFrame:
     """A^T A over (user, item, rating): the products of ratings that share a user, summed for each pair of items.
 
-    Users of near numbers share a task, which sums the products of all its users before they move: there are as many
-    products as pairs of a user's ratings, but often few pairs of items. Ratings without a user join nothing.
+    Ratings are written once, in parts by item; a task for each two parts reads them and gives final sums, so neither
+    products nor sums move. Where pairs of items are fewer than ratings, or parts would be too many, users of near
+    numbers share a task instead, whose sums move. Ratings without a user join nothing.
     """
     spark = ratings.sparkSession
-    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     rated = ratings.where("user is not null").select("user", F.col("item").cast("long"), F.col("rating").cast("double"))
-    sorted_users = rated.repartitionByRange(parts, "user").sortWithinPartitions("user")
+    rated = materialise(rated, "ratings")
+    n, items = rated.agg(F.count(F.lit(1)), F.approx_count_distinct("item")).first()
+    parts = max(1, -(-n // PART_RATINGS))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    if tasks * items**2 > n and parts <= MOST_PARTS:
+        dealt = rated.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int")).coalesce(spark.sparkContext.defaultParallelism)
+        path = scratch_path(spark, "ratings_by_item")
+        dealt.write.partitionBy("part").parquet(path)
+        drop_table(rated)
+        dealt = spark.read.schema(dealt.schema).parquet(path)
+        names = "item_a long, item_b long, similarity double"
+
+        def pair(a: int, b: int) -> DataFrame:
+            return dealt.where(F.col("part").isin(a, b)).coalesce(1).mapInArrow(lambda batches: cross_sums(batches, a, b, upper_only), names)
+
+        # a union of single partitions alone would be one task; this branch reads no file and is none
+        none = dealt.where("part < 0").select(F.col("item").alias("item_a"), F.col("item").alias("item_b"), F.col("rating").alias("similarity"))
+        return reduce(DataFrame.unionByName, [none, *(pair(a, b) for a in range(parts) for b in range(a, parts))])
+    sorted_users = rated.repartitionByRange(tasks, "user").sortWithinPartitions("user")
     sums = sorted_users.mapInArrow(lambda batches: pair_sums(batches, upper_only), "item_a long, item_b long, similarity double")
     return sums.repartition("item_a", "item_b").groupBy("item_a", "item_b").agg(F.sum("similarity").alias("similarity"))
 
 
+#: Ratings of a part of the items, of which a task holds two; parts at most, of which each two are a task.
+PART_RATINGS, MOST_PARTS = 3_000_000, 16
+#: Products whose sums are found together, and cells for each of them up to which the sums are held as a grid.
+TOGETHER, SPARSE = 1 << 21, 4
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Each value's place in an array of the different ones; -1 for null."""
+    column = column.combine_chunks().dictionary_encode()  # chunks apart would each have a dictionary
+    return column.indices.fill_null(-1).to_numpy(zero_copy_only=False), column.dictionary
+
+
+def cross_sums(batches: Iterator[pa.RecordBatch], part_a: int, part_b: int, upper_only: bool = False) -> Iterator[pa.RecordBatch]:
+    """(item_a, item_b, sum of products), each pair of items once, over all (user, item, rating, part) of two parts of the items.
+
+    Pairs are of one item of each part, in both orders. The ratings of a few items of the first part meet all of the second.
+    """
+    table = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["user", "item", "rating", "part"])])
+    if not table.num_rows:
+        return
+    part = table["part"].to_numpy()
+    user, users = _codes(table["user"])
+    item, names = _codes(table["item"])
+    empty = table["rating"].is_null().to_numpy()
+    value = table["rating"].fill_null(0.0).to_numpy()
+    some_empty = bool(empty.any())
+    del table
+
+    def side(which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of a part, their items' places among its items, and those items (-1: null)."""
+        rows = np.flatnonzero(part == which)
+        mine, place = np.unique(item[rows], return_inverse=True)
+        return rows, place, mine
+
+    rows_b, place_b, items_b = side(part_b)
+    order = np.argsort(user[rows_b], kind="stable")
+    rows_b, place_b = rows_b[order], place_b[order]
+    count = np.bincount(user[rows_b], minlength=len(users))
+    start = np.cumsum(count) - count
+    rows_a, place_a, items_a = side(part_a)
+    order = np.argsort(place_a, kind="stable")
+    order = order[count[user[rows_a[order]]] > 0]
+    rows_a, place_a = rows_a[order], place_a[order]
+    n, first = count[user[rows_a]], start[user[rows_a]]
+    value_b, empty_b, wide = value[rows_b], empty[rows_b], len(items_b)
+    upto = np.concatenate(([0], np.cumsum(n)))
+
+    def products(begin: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(cell, product, whether it is null) of the first part's ratings from begin to end, about PRODUCTS at a time."""
+        while begin < end:
+            to = min(end, max(begin + 1, int(np.searchsorted(upto, upto[begin] + PRODUCTS, side="right")) - 1))
+            a = np.repeat(np.arange(begin, to), n[begin:to])
+            b = np.arange(len(a)) + np.repeat(first[begin:to] - (upto[begin:to] - upto[begin]), n[begin:to])
+            with np.errstate(invalid="ignore", over="ignore"):  # infinity times zero is NaN, as in SQL
+                yield place_a[a] * wide + place_b[b], value[rows_a[a]] * value_b[b], empty[rows_a[a]] | empty_b[b] if some_empty else None
+            begin = to
+
+    def out(cell: np.ndarray, total: np.ndarray, null: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(cell), 1 << 16):
+            a, b = items_a[cell[k : k + (1 << 16)] // wide], items_b[cell[k : k + (1 << 16)] % wide]
+            a, b = (names.take(pa.array(x, mask=x < 0)) for x in (a, b))
+            sums = pa.array(total[k : k + (1 << 16)], mask=None if null is None else null[k : k + (1 << 16)])
+            for x, y in ((a, b), (b, a))[: 1 + (part_a != part_b)]:
+                found = pa.RecordBatch.from_arrays([x, y, sums], names=["item_a", "item_b", "similarity"])
+                yield found.filter(pc.less(x, y)) if upper_only else found
+
+    heads = np.flatnonzero(np.concatenate(([True], place_a[1:] != place_a[:-1]))) if len(place_a) else np.zeros(0, np.int64)
+    ends = np.append(heads[1:], len(place_a))
+    k = 0
+    while k < len(heads):  # items of the first part with about TOGETHER products, at least one item
+        z = max(k + 1, int(np.searchsorted(upto[ends], upto[heads[k]] + TOGETHER, side="right")))
+        begin, end = heads[k], ends[z - 1]
+        low, cells = place_a[begin] * wide, (place_a[end - 1] - place_a[begin] + 1) * wide
+        if cells <= SPARSE * (upto[end] - upto[begin]) or z == k + 1:
+            total, seen, filled = np.zeros(cells), np.zeros(cells, bool), np.zeros(cells if some_empty else 0, bool)
+            for cell, product, null in products(begin, end):
+                seen[cell - low] = True
+                if some_empty:
+                    cell, product = cell[~null], product[~null]
+                    filled[cell - low] = True
+                with np.errstate(invalid="ignore", over="ignore"):
+                    np.add.at(total, cell - low, product)
+            at = np.flatnonzero(seen)
+            yield from out(at + low, total[at], ~filled[at] if some_empty else None)
+        else:
+            cell, product, null = (np.concatenate(x) if x[0] is not None else None for x in zip(*products(begin, end), strict=True))
+            order = np.argsort(cell, kind="stable")
+            cell, product = cell[order], product[order]
+            cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+            with np.errstate(invalid="ignore", over="ignore"):
+                total = np.add.reduceat(product, cuts)
+            yield from out(cell[cuts], total, np.logical_and.reduceat(null[order], cuts) if some_empty else None)
+        k = z
+
+
 #: Ratings taken at once, products held at once, and items whose sums a task holds as a square (64 MB and a byte a cell).
 RATINGS, PRODUCTS, SQUARE = 1 << 17, 1 << 19, 2896
 
